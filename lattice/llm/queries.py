@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, token_count
+from . import chat, decontaminate, license_scan, line_dedup, packing, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_license_scans": license_scan.op3_license_scans,
         "op5_packing": packing.op5_packing,
         "op6_decontamination": decontaminate.op6_decontamination,
+        "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_token_counts": token_count.op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_formatting": chat.SQL}
