@@ -81,6 +81,12 @@ class TestIndex:
         half = _levels(n)[-1]
         return ranks[half] if half == n else self._pair(ranks[half], n - half, -n, learn)
 
+    def numbers(self, text: str) -> np.ndarray:
+        """A text's words as the test set's word numbers; 0: a word that no item has."""
+        words = common.plain_words(text)
+        get = self.vocabulary.get
+        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+
     def search(self, words: np.ndarray, longest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a shard's word numbers: (places, window lengths, items, verbatim lengths), a row for each place and test window that agree."""
         ranks, top = {1: words}, max(self.windows, default=0)
@@ -112,6 +118,27 @@ class TestIndex:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
 
+def _shards(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of a batch's rows with about SHARD_WORDS words each."""
+    a, total = 0, 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total > SHARD_WORDS:
+            yield a, k + 1
+            a, total = k + 1, 0
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's words, a 0 after each document, and where each document starts."""
+    starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in rows])]).astype(np.int64)
+    words = np.zeros(int(starts[-1]), np.int64)
+    for s, r in zip(starts, rows, strict=False):
+        words[s : s + len(r)] = r
+    return words, starts
+
+
 def _parts(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     part, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().toLocalIterator():
@@ -134,14 +161,10 @@ def _match_part(docs: DataFrame, items: list[tuple[int, list[bytes]]], window: i
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: TestIndex = sent.value
-        get = index.vocabulary.get
 
         def shard(ids: list, hashes: list, rows: list[np.ndarray]) -> pa.RecordBatch:
+            words, starts = _joined(rows)
             sizes = np.array([len(r) for r in rows], np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-            words = np.zeros(int(starts[-1]), np.int64)  # a 0 stands between documents
-            for s, r in zip(starts, rows, strict=False):
-                words[s : s + len(r)] = r
             place, n, item, length = index.search(words, longest)
             doc = np.searchsorted(starts, place, "right") - 1
             order = np.lexsort((place, doc))
@@ -170,18 +193,10 @@ def _match_part(docs: DataFrame, items: list[tuple[int, list[bytes]]], window: i
             )
 
         for batch in batches:
-            ids, hashes, rows, size = [], [], [], 0
-            for i, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("_th").to_pylist(), common.texts(batch), strict=True):
-                words = common.plain_words(text)
-                ids.append(i)
-                hashes.append(h)
-                rows.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-                size += len(words)
-                if size > SHARD_WORDS:
-                    yield shard(ids, hashes, rows)
-                    ids, hashes, rows, size = [], [], [], 0
-            if ids:
-                yield shard(ids, hashes, rows)
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("_th").to_pylist()
+            rows = [index.numbers(t) for t in common.texts(batch)]
+            for a, b in _shards([len(r) for r in rows]):
+                yield shard(ids[a:b], hashes[a:b], rows[a:b])
 
     return common.map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th")), match, schema)
 
@@ -217,13 +232,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return merged.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), "longest", "longest_item", "longest_at")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 1) -> DataFrame:
-    """docs (with all their columns) without the rows in which windows of min_items or more items occur."""
-    found = find_contamination(docs, benchmark, window, longest=False)
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    bad = found.where(F.col("n_items") >= min_items).select(key.alias("_key"), "n_words").distinct()
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
-    return docs.withColumn("_key", key).withColumn("_n", words).join(bad, [F.col("_key") == bad["_key"], F.col("_n") == bad["n_words"]], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """docs (with all their columns) without the rows in which any test window occurs; nothing is shuffled.
+
+    Null and empty texts stay. Repeated rows, null ids and added columns are kept as they are.
+    """
+    for items in _parts(benchmark, part_words):
+        docs = _without(docs, items, window)
+    return docs
+
+
+def _without(docs: DataFrame, items: list[tuple[int, list[bytes]]], window: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(TestIndex(items, window))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: TestIndex = sent.value
+        for batch in batches:
+            rows = [index.numbers(t) for t in common.texts(batch)]
+            for a, b in _shards([len(r) for r in rows]):
+                words, starts = _joined(rows[a:b])
+                dirty = np.zeros(b - a, bool)
+                dirty[np.searchsorted(starts, index.search(words, False)[0], "right") - 1] = True
+                yield batch.slice(a, b - a).filter(pa.array(~dirty))
+
+    return common.map_rows(docs, keep, docs.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
