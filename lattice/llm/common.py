@@ -111,7 +111,7 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
 class WordHashes(dict):
     """Stable 64-bit hashes of words (bytes), kept in a cache that is emptied once it holds LIMIT words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
