@@ -52,16 +52,14 @@ def shape(raw: bytes, words: list[bytes], types: set[bytes]) -> list[int]:
     return found + [_bucket(b"r", run[:8]) for run in set(_RUNS.findall(raw))]
 
 
-def features(text: str) -> set[int]:
+def features(text: str) -> list[int]:
     """A text's buckets: those of its distinct words and stems and of its shape; none without a word."""
     words = common.plain_words(text)
     if not words:
-        return set()
+        return []
     types = set(words)
-    found = set(shape(text.encode("utf-8", "surrogatepass"), words, types))
-    found.update(_bucket(b"w", w) for w in types)
-    found.update(_bucket(b"s", w) for w in stems(types))
-    return found
+    found = shape(text.encode("utf-8", "surrogatepass"), words, types)
+    return found + [_bucket(b"w", w) for w in types] + [_bucket(b"s", w) for w in stems(types)]
 
 
 class Ordinal:
@@ -71,7 +69,7 @@ class Ordinal:
         self.grades, self.thresholds, self.weights = grades, np.array([-np.inf] * (grades - 1)), {}
 
     def fit(self, rows: list[np.ndarray], grade: np.ndarray, l1: float = L1, screened: int = SCREENED, steps: int = 400) -> Ordinal:
-        """rows: the distinct bucket numbers of each document. Unseen grades get thresholds that give them no weight."""
+        """rows: the bucket numbers of each document, those that meet in one bucket counting each. Unseen grades get thresholds that give them no weight."""
         n = len(rows)
         seen = np.unique(grade)
         if len(seen) < 2:  # nothing to tell apart: every document gets the one grade seen, or the highest
@@ -80,6 +78,8 @@ class Ordinal:
             return self
         owner = np.repeat(np.arange(n), [len(r) for r in rows])
         flat = np.concatenate(rows).astype(np.int64)
+        both, count = np.unique(owner * BUCKETS + flat, return_counts=True)
+        owner, flat = both // BUCKETS, both % BUCKETS
         kept, place = np.unique(flat, return_inverse=True)
         df = np.bincount(place).astype(float)
         centred = grade - grade.mean()
@@ -91,10 +91,10 @@ class Ordinal:
         number = np.full(len(kept), -1)
         number[use] = np.arange(len(use))
         inside = number[place] >= 0
-        row, col = owner[inside], number[place[inside]]
+        row, col, value = owner[inside], number[place[inside]], count[inside].astype(float)
         d = len(use)
         norm = np.sqrt(np.bincount(col, minlength=d) / n) + 0.05  # rare marks may weigh as much as common ones
-        value = 1 / norm[col]
+        value = value / norm[col]
         weights, cuts = np.zeros(d), np.quantile(np.linspace(0, 1, 3), np.linspace(0.2, 0.8, self.grades - 1)) * 2 - 1
         for k in range(self.grades - 1):
             p = min(max((grade <= k).mean(), 1e-3), 1 - 1e-3)
