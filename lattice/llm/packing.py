@@ -86,7 +86,7 @@ def tokenize_pieces(docs: DataFrame, model: str, most: int, end_id: int = 0) ->
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _salt long"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(sent.value, False)
+        encoder = tokens.worker_encoder(sent.value, False)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = LI
     sent = spark.sparkContext.broadcast((model, packed))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(sent.value[0], True, tokens.unpack_table(sent.value[1]))
+        encoder = tokens.worker_encoder(sent.value[0], True, sent.value[1])
         for batch in batches:
             rows = common.texts(batch)
             yield pa.RecordBatch.from_arrays(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,8 +23,18 @@ def pre_tokens(text: str) -> list[str] | None:
     return None if _OTHER.search(text) else _SPLIT.findall(text)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder(dict):
-    """Pre-token -> little-endian ids as bytes, or -> number of ids. Holds `given` always, and up to `limit` others."""
+    """Pre-token -> little-endian ids as bytes, or -> number of ids. Holds `given` always, and up to `limit` others.
+
+    The library's own model encodes a missing pre-token; texts that can't be split here go to the library whole.
+    """
 
     def __init__(self, model: str, lengths: bool, given: dict[str, object] | None = None, limit: int = 400_000):
         from tokenizers import Tokenizer
@@ -30,37 +42,54 @@ class Encoder(dict):
         super().__init__(given or {})
         self.tokenizer, self.lengths, self.given, self.limit = Tokenizer.from_str(model), lengths, given or {}, limit
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        about = json.loads(model)
+        before = about.get("pre_tokenizer") or {}
+        self.splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not about.get("normalizer") and about["model"].get("type", "BPE") == "BPE"
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, token: str):
-        ids = self._encode(token)
-        value = self[token] = len(ids) if self.lengths else np.asarray(ids, "<u4").tobytes()
+        found = self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))
+        value = self[token] = len(found) if self.lengths else b"".join([t.id.to_bytes(4, "little") for t in found])
         return value
 
     def _parts(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special):
+        if not self.splits or any(s in text for s in self.special):
             return None
         return pre_tokens(text)
 
-    def count(self, text: str) -> int:
-        if (parts := self._parts(text)) is None:
-            return len(self._encode(text))
+    def _make_room(self) -> None:
         if len(self) > self.limit + len(self.given):
             self.clear()
             self.update(self.given)
+
+    def count(self, text: str) -> int:
+        if (parts := self._parts(text)) is None:
+            return len(self._encode(text))
+        self._make_room()
         return sum(map(self.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
         if (parts := self._parts(text)) is None:
             return np.asarray(self._encode(text), "<u4").tobytes()
-        if len(self) > self.limit + len(self.given):
-            self.clear()
-            self.update(self.given)
+        self._make_room()
         return b"".join(map(self.__getitem__, parts))
 
 
+#: A worker's encoders: it keeps its cache from task to task.
+_KEPT: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(model: str, lengths: bool, packed: tuple[bytes, bytes] | None = None) -> Encoder:
+    key = (zlib.crc32(model.encode()), lengths, packed)
+    if key not in _KEPT:
+        _KEPT.clear()  # one at a time bounds the worker's memory
+        _KEPT[key] = Encoder(model, lengths, unpack_table(packed) if packed else None)
+    return _KEPT[key]
+
+
 def read_model(path: str) -> str:
     """A tokenizer's file, read on the driver and sent to the workers with the function (1.5 MB)."""
     with open(path, encoding="utf-8") as f:
