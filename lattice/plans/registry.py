@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import learning, profiling, storage, tensors
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+BOOKS = (profiling.BOOK, tensors.BOOK, learning.BOOK, storage.BOOK)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for book in BOOKS for name, (query, _) in book.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, (_, sql) in book.items() if sql is not None}
