@@ -191,7 +191,7 @@ class SupportVectors(Estimator):
         kernel, c = self.params["kernel"], self.params["c"]
         mapped = _FeatureMap(kernel, features, self.seed).fit(df)
         reg = lambda n: 1.0 / (c * max(n, 1))
-        one = Engine(lambda p, s, about: OneVsRest(classifier=LinearSVC(regParam=reg(about["n"]), maxIter=100), **_columns()), "classification", self.params, self.seed)
+        one = Engine(lambda p, s, about: OneVsRest(classifier=LinearSVC(regParam=reg(about["n"]), maxIter=30), **_columns(), parallelism=4), "classification", self.params, self.seed)
         model = one.fit(mapped.transform(df), mapped.names, label)
         return _Mapped(mapped, model)
 
@@ -263,9 +263,9 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, key: str = ROWS) -> Da
                 yield _nearest_batch(batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), float), ids, v, k)
 
         return map_arrow(queries.select(F.col(key).cast("long").alias("key"), "v"), one, "key long, d double, t long")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("b"), F.lit(False).alias("is_train"), F.col(key).cast("long").alias("id"), "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(False).alias("is_train"), F.col(key).cast("long").alias("id"), "v")
 
-    def block(group) -> pa.Table:
+    def block(group: pa.Table) -> pa.Table:
         is_train = group.column("is_train").to_numpy(zero_copy_only=False)
         ids, v = group.column("id").to_numpy(), np.array(group.column("v").to_pylist(), float)
         order = np.argsort(ids[is_train], kind="stable")

@@ -510,8 +510,8 @@ class Matrix:
         return Matrix(self.df.join(other.df.withColumnRenamed("v", "w"), "row_id").select("row_id", F.concat("v", "w").alias("v")), self._m, self.n + other.n)
 
     def repeat(self, m: int, n: int) -> Matrix:
-        tiles = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        return Matrix(self.df.select((F.col("row_id") + tiles * F.lit(self.m)).alias("row_id"), F.flatten(F.array_repeat("v", n)).alias("v")) if m == 1 else self.df.select("row_id", "v", tiles.alias("t")).select((F.col("row_id") + F.col("t") * F.lit(self.m)).alias("row_id"), F.flatten(F.array_repeat("v", n)).alias("v")), self.m * m, self.n * n)
+        tiles = self.df.select("row_id", "v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("t"))
+        return Matrix(tiles.select((F.col("row_id") + F.col("t") * F.lit(self.m)).alias("row_id"), F.flatten(F.array_repeat("v", n)).alias("v")), self.m * m, self.n * n)
 
     def symmetric(self, tolerance: float = 1e-10) -> bool:
         if not self.is_square():

@@ -244,8 +244,8 @@ _SMALL = {
 def _fit_predict(key: str):
     def query(spark, sf_dir):
         df = _features(spark, sf_dir)
-        if key in ("gradient_boost",):
-            df = df.withColumn("label", (F.col("label").cast("int") % 2).cast("string"))
+        if key in ("gradient_boost", "svc"):
+            df = df.withColumn("label", (F.col("label").cast("int") % (2 if key == "gradient_boost" else 3)).cast("string"))
         if estimators.ALGORITHMS[key].kind == "regression":
             df = df.withColumn("label", F.col("x0") * 2 + F.col("x1"))
         names = ["x0", "x1", "x2", "x3"]

@@ -48,8 +48,9 @@ def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, row_index: bool = True) -> DataFrame:
     """A headed CSV file, all columns as text, blank cells as ''."""
-    df = spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\0").option("mode", "PERMISSIVE").csv(path)
-    return with_row_index(df) if row_index else df
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    df = with_row_index(df) if row_index else df
+    return df.na.fill("")  # a CSV file tells no blank cell from a null one
 
 
 def read_json(spark: SparkSession, path: str, row_index: bool = True) -> DataFrame:
