@@ -59,10 +59,11 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     """_id, _th and runs: [a, b) over the document's non-blank lines, each with an earlier equal."""
     all_windows = windows(docs, min_lines, min_words)
     place = F.struct("_id", "_th", "p")
-    often = all_windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("fp")
+    # Grouped by another key than the joins', so that these deal both sides anew and can split a hot key.
+    often = all_windows.groupBy(F.bitwise_not("fp").alias("g")).agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select(F.bitwise_not("g").alias("fp"))
     some = all_windows.join(often, "fp", "left_semi")
     at = F.struct("_id", "_th", "k", "left", "right")
-    first = some.groupBy("hash").agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1).select("hash", "_first")
+    first = some.groupBy(F.bitwise_not("hash").alias("g")).agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.bitwise_not("g").alias("hash"), "_first")
     met = some.join(first, "hash").where(F.struct("_id", "_th", "k") > F.struct("_first._id", "_first._th", "_first.k"))
 
     def agreeing(side: str) -> Column:
