@@ -24,7 +24,11 @@ WIDTH, REACH = 32, 16
 BITS, PER_FILTER, HASHES = 2048, 128, 4
 LEVELS = 512
 #: Bytes that are looked at together, and characters of a range of documents.
-BLOCK, RANGE_CHARS = 1 << 18, 16_000_000
+BLOCK, RANGE_CHARS = 1 << 18, 2_000_000
+#: Ranges at most: more documents make longer ranges, which are sorted and streamed, not held.
+MOST_RANGES = 20_000
+#: Texts of fewer bytes have too few windows; their FINE-byte windows of least hash within FINE_REACH are features too.
+SHORT, FINE, FINE_REACH = 512, 8, 2
 
 _N = np.arange(WIDTH + 1)
 _F = np.rint(_N * np.log2(np.maximum(_N, 1)) * 1024).astype(np.int32)
@@ -65,7 +69,7 @@ def block_features(parts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     ends = np.cumsum([len(p) for p in parts])
     starts = ends - [len(p) for p in parts]
     if len(joined) < WIDTH:
-        return [_short(p) for p in parts]
+        return [_short(p, np.empty(0, np.uint64)) for p in parts]
     worst = np.uint16(LEVELS)
     value = rank[levels(joined)].astype(np.uint16)
     for e in ends[:-1].tolist():  # windows across texts
@@ -81,12 +85,24 @@ def block_features(parts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
         h = common.mix(h ^ (windows[:, j] + np.uint64(0x9E3779B97F4A7C15)))
     cuts = np.searchsorted(picked, np.concatenate([starts, [ends[-1]]]))
     found = [h[cuts[k] : cuts[k + 1]] for k in range(len(parts))]
-    return [f if len(f) or not p else _short(p) for f, p in zip(found, parts, strict=True)]
-
-
-def _short(text: bytes) -> np.ndarray:
-    """A text without a feature of its own is one feature as a whole; an empty one has none."""
-    return np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), np.uint64) if text else np.empty(0, np.uint64)
+    return [_short(p, f) if len(p) < SHORT or not len(f) else f for f, p in zip(found, parts, strict=True)]
+
+
+def _short(text: bytes, found: np.ndarray) -> np.ndarray:
+    """The features of a text with few of its own: those, and fine ones, or else the whole text as one; an empty one has none."""
+    if not text:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = len(data) - FINE + 1
+    if n > 0 and len(text) < SHORT:
+        h = np.zeros(n, np.uint64)
+        for k in range(FINE):
+            h |= data[k : k + n] << np.uint64(8 * k)
+        h = common.mix(h)
+        fill = np.full(FINE_REACH, np.iinfo(np.uint64).max, np.uint64)
+        low = _sliding_min(np.concatenate([fill, h, fill]), FINE_REACH)
+        found = np.concatenate([found, h[(h < low[:n]) & (h <= low[FINE_REACH + 1 : FINE_REACH + 1 + n])]])
+    return found if len(found) else np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), np.uint64)
 
 
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
@@ -191,7 +207,7 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *common.row_key())
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    ranges = max(1, -(-chars // range_chars))
+    ranges = min(MOST_RANGES, max(1, -(-chars // range_chars)))
     cuts: list[int] = []
     if ranges > 1:
         got = keyed.agg(F.percentile_approx("_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0]

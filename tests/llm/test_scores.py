@@ -123,6 +123,15 @@ def test_features_do_not_depend_on_the_block(prose):
     assert len(plain) == len(together[5])
 
 
+def test_short_texts_have_fine_features(prose):
+    rank = np.arange(fingerprint.LEVELS)
+    text = prose(6, 2)[:30]
+    edited = text[:15] + "0123456789abcde"
+    a, b, other = (fingerprint.chain(fingerprint.features([t.encode()], rank)[0]) for t in (text, edited, "QWERTYUIOPASDFGHJKLZXCVBNM1234"))
+    assert 0.1 < fingerprint.likeness(a, b) < 0.9 and fingerprint.likeness(a, other) < 0.1
+    assert len(fingerprint.features([b"ab"], rank)[0]) == 1
+
+
 def test_fingerprints(spark, make, prose, odd):
     import hashlib
 
