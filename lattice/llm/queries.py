@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, quality, token_count
+from . import chat, decontaminate, fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, quality, sql, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,4 +27,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat.SQL}
+    """The fitted operators, the tokenizer's and the fingerprints have none: tests hold them against brute force."""
+    return {
+        "op1_line_dedup": sql.LINE_DEDUP,
+        "op3_license_scans": sql.LICENSE_SCANS,
+        "op4_near_dedup": sql.NEAR_DEDUP,
+        "op6_decontamination": sql.DECONTAMINATION,
+        "op8_chat_formatting": chat.SQL,
+    }
