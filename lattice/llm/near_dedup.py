@@ -29,7 +29,7 @@ CHUNKS, CHUNK = 10, 4
 SYMBOLS = CHUNKS * CHUNK
 AGREE = 15
 #: Documents of a block of a key, and documents and shingles of a block of a cluster.
-KEY_BLOCK, BLOCK_DOCS, BLOCK_SHINGLES = 2048, 512, 200_000
+KEY_BLOCK, BLOCK_DOCS, BLOCK_SHINGLES = 512, 512, 200_000
 
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 2**63, SYMBOLS, np.uint64)[:, None]
@@ -199,9 +199,10 @@ def components(edges: DataFrame) -> DataFrame:
     before, after = None, sign(now)
     while after != before:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+        # Grouped by another key than the join's, so that the join deals both sides anew and can split a hot key.
+        low = both.groupBy(F.bitwise_not("u").alias("g")).agg(F.min("v").alias("m")).select(F.bitwise_not("g").alias("u"), F.least(F.bitwise_not("g"), "m").alias("m"))
         large = both.join(low, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy(F.bitwise_not("u").alias("g")).agg(F.min("v").alias("m")).select(F.bitwise_not("g").alias("u"), "m")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         now = common.materialise(small)
         before, after = after, sign(now)
