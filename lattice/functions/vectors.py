@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 TINY = 1e-14
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once, not wherever the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -23,9 +28,12 @@ def mean(v: Column) -> Column:
 
 
 def median(v: Column) -> Column:
-    s, n = F.array_sort(v), F.size(v)
-    low = F.get(s, F.floor((n - F.lit(1)) / F.lit(2)).cast("int"))
-    return (low + F.get(s, F.floor(n / F.lit(2)).cast("int"))) / F.lit(2.0)
+    n = F.size(v)
+
+    def middle(s: Column) -> Column:
+        return (F.get(s, F.floor((n - F.lit(1)) / F.lit(2)).cast("int")) + F.get(s, F.floor(n / F.lit(2)).cast("int"))) / F.lit(2.0)
+
+    return let(F.array_sort(v), middle)
 
 
 def variance(v: Column, centre: Column | None = None) -> Column:
@@ -51,8 +59,7 @@ def norm(v: Column, p: float = 2) -> Column:
 
 def normalize(v: Column, p: float = 2) -> Column:
     """The unit vector; one shorter than 1e-14 stays as it is."""
-    n = norm(v, p)
-    return F.when(n < TINY, v).otherwise(F.transform(v, lambda x: x / n))
+    return let(norm(v, p), lambda n: F.when(n < TINY, v).otherwise(F.transform(v, lambda x: x / n)))
 
 
 def project(v: Column, w: Column) -> Column:
@@ -64,8 +71,8 @@ def reflect(v: Column, w: Column) -> Column:
 
 
 def _along(v: Column, w: Column, make) -> Column:
-    own = dot(w, w)
-    return F.when(own < TINY, F.raise_error(F.lit("cannot project onto a zero vector")).cast("array<double>")).otherwise(make(dot(v, w) / own))
+    zero = F.raise_error(F.lit("cannot project onto a zero vector")).cast("double")
+    return let(let(dot(w, w), lambda own: F.when(own < TINY, zero).otherwise(dot(v, w) / own)), make)
 
 
 def cross(v: Column, w: Column) -> Column:
@@ -87,14 +94,18 @@ def argmax(v: Column) -> Column:
 
 def quantile(v: Column, q: float) -> Column:
     """Linear interpolation between the two nearest elements."""
-    s, at = F.array_sort(v), (F.size(v) - F.lit(1)) * F.lit(float(q))
-    low = F.get(s, F.floor(at).cast("int"))
-    return low + (F.get(s, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+    at = (F.size(v) - F.lit(1)) * F.lit(float(q))
+
+    def between(s: Column) -> Column:
+        low = F.get(s, F.floor(at).cast("int"))
+        return low + (F.get(s, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+    return let(F.array_sort(v), between)
 
 
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def convolve(v: Column, kernel: list[float], stride: int = 1) -> Column:

@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import softmax
 from ..session import map_arrow, materialise, ship
 from . import linalg
-from .matrix import Matrix
+from .matrix import Matrix, numbers
 from .metrics import class_order
 
 ROWS = "row_idx"
@@ -260,14 +261,14 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, key: str = ROWS) -> Da
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, v = sent.value
             for batch in batches:
-                yield _nearest_batch(batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), float), ids, v, k)
+                yield _nearest_batch(batch.column(0).to_numpy(zero_copy_only=False), numbers(batch.column(1)), ids, v, k)
 
         return map_arrow(queries.select(F.col(key).cast("long").alias("key"), "v"), one, "key long, d double, t long")
     asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(False).alias("is_train"), F.col(key).cast("long").alias("id"), "v")
 
     def block(group: pa.Table) -> pa.Table:
         is_train = group.column("is_train").to_numpy(zero_copy_only=False)
-        ids, v = group.column("id").to_numpy(), np.array(group.column("v").to_pylist(), float)
+        ids, v = group.column("id").to_numpy(), numbers(group.column("v").combine_chunks())
         order = np.argsort(ids[is_train], kind="stable")
         return pa.Table.from_batches([_nearest_batch(ids[~is_train], v[~is_train], ids[is_train][order], v[is_train][order], k)])
 
@@ -359,9 +360,8 @@ class _BayesModel(Model):
 
         out = vector(df, self.features).withColumn("_l", F.array(*[likelihood(*row) for row in self.table]))
         top = F.array_max("_l")
-        e = F.transform("_l", lambda x: F.exp(x - F.array_max("_l")))
         made = F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position("_l", top) - 1).cast("int"))
-        return out.select(*[F.col(f"`{c}`") for c in df.columns], made.alias("prediction"), F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("probability"))
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], made.alias("prediction"), softmax(F.col("_l")).alias("probability"))
 
 
 # -- linear regression
@@ -411,7 +411,7 @@ class SupportVectorRegressor(Estimator):
                 total = np.zeros(len(mean))
                 for batch in batches:
                     if batch.num_rows:
-                        z = (np.array(batch.column(0).to_pylist(), float) - mean) / spread
+                        z = (numbers(batch.column(0)) - mean) / spread
                         x = np.hstack([z[:, :-1], np.ones((len(z), 1))])
                         left = x @ sent.value - z[:, -1]
                         total += x.T @ (np.sign(left) * (np.abs(left) > eps))

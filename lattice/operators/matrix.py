@@ -23,6 +23,13 @@ INF = float("inf")
 WIDE = 256
 
 
+def numbers(column: pa.Array) -> np.ndarray:
+    """Arrays of one length as rows of a matrix, without a copy of each element to Python."""
+    n = len(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+
+
 class ShapeError(ValueError):
     """Shapes that do not fit each other or the operation."""
 
@@ -537,9 +544,10 @@ class Matrix:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                left = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-                made = left @ sent.value if batch.num_rows else left
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.float64()))], ["row_id", "v"])
+                if batch.num_rows:
+                    made = numbers(batch.column(1)) @ sent.value
+                    offsets = pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], ["row_id", "v"])
 
         return Matrix(map_arrow(self.df, run, "row_id long, v array<double>"), self._m, int(right.shape[1]))
 
@@ -557,7 +565,7 @@ class Matrix:
             total = None
             for batch in batches:
                 if batch.num_rows:
-                    part = np.array(batch.column(0).to_pylist(), float)
+                    part = numbers(batch.column(0))
                     total = part.T @ part if total is None else total + part.T @ part
             yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
 

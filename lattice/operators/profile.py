@@ -79,24 +79,24 @@ def _numbers(df: DataFrame, names: list[str], order: str | None = None) -> DataF
     return df.select(cells.alias("c")).select("c.name", "c.v").where("v IS NOT NULL")
 
 
-def order_statistics(values: DataFrame, shares: list[float]) -> DataFrame:
-    """(name, q, v) of (name, v): the element at place floor(n * share) of each name's sorted values, exact.
+def at_places(values: DataFrame, places: dict[str, tuple[float, Column]]) -> DataFrame:
+    """(name, q, v) of (name, v): for each label q, the element at a place (an expression in n) of each name's sorted values, exact.
 
-    Approximate quantiles bracket each place; what lies below a bracket is counted, and only the values inside
-    it, a small share of the data, are put in order. No name's values are gathered.
+    Approximate quantiles about the place's share of n bracket it; what lies below a bracket is counted, and only
+    the values inside it, a small share of the data, are put in order. No name's values are gathered.
     """
-    grid = sorted({max(0.0, min(1.0, s + d)) for s in shares for d in (-0.005, 0.005)})
+    near = 0.005
+    grid = sorted({max(0.0, min(1.0, s + d)) for s, _ in places.values() for d in (-near, near)})
     about = values.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("v", grid, 20_000).alias("g"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
-    def at(share: float) -> Column:
-        a, b = max(0.0, share - 0.005), min(1.0, share + 0.005)
+    def at(label: str, share: float, place: Column) -> Column:
+        a, b = max(0.0, share - near), min(1.0, share + near)
         low = F.col("lo") if a == 0.0 else F.get("g", F.lit(grid.index(a)))
         high = F.col("hi") if b == 1.0 else F.get("g", F.lit(grid.index(b)))
-        place = F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
-        return F.struct(F.lit(share).alias("q"), low.alias("low"), high.alias("high"), place.alias("place"))
+        return F.struct(F.lit(label).alias("q"), low.alias("low"), high.alias("high"), F.least(place, F.col("n") - 1).alias("place"))
 
-    brackets = about.select("name", F.explode(F.array(*map(at, shares))).alias("b")).select("name", "b.*")
-    # A row for each name and share: as small as the table is wide.
+    brackets = about.select("name", F.explode(F.array(*[at(q, s, p) for q, (s, p) in places.items()])).alias("b")).select("name", "b.*")
+    # A row for each name and label: as small as the table is wide.
     marked = values.join(F.broadcast(brackets), "name")
     below = marked.groupBy("name", "q").agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
     inside = marked.where("v >= low AND v <= high").groupBy("name", "q", "place", "v").agg(F.count("*").alias("c"))
@@ -105,17 +105,24 @@ def order_statistics(values: DataFrame, shares: list[float]) -> DataFrame:
     return upto.where("place >= upto - c AND place < upto").select("name", "q", "v")
 
 
+def order_statistics(values: DataFrame, shares: list[float]) -> DataFrame:
+    """(name, q, v): the element at place floor(n * share) of each name's sorted values."""
+    found = at_places(values, {str(s): (s, F.floor(F.col("n") * F.lit(s))) for s in shares})
+    return found.withColumn("q", F.col("q").cast("double"))
+
+
 def summary(df: DataFrame, names: list[str], order: str | None = None) -> DataFrame:
     """(name, n, min, max, mean, median, std, q25, q75, skewness) over numeric cells; columns without any are left out."""
     values = _numbers(df, names, order)
     m = F.avg("v")
     first = values.groupBy("name").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), m.alias("mean"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("skew"))
-    # The two middle elements: at floor(n / 2), and for even n the one before it.
-    places = order_statistics(values, [0.25, 0.5, 0.75]).groupBy("name").agg(F.max(F.when(F.col("q") == 0.25, F.col("v"))).alias("q25"), F.max(F.when(F.col("q") == 0.75, F.col("v"))).alias("q75"))
-    medians = values.groupBy("name").agg(F.median("v").alias("median"))
+    n = F.col("n")
+    places = {"q25": (0.25, F.floor(n * F.lit(0.25))), "q75": (0.75, F.floor(n * F.lit(0.75))), "m1": (0.5, F.floor((n - 1) / F.lit(2))), "m2": (0.5, F.floor(n / F.lit(2)))}
+    found = at_places(values, places).groupBy("name").agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(q) for q in places])
     skew = F.when((F.col("n") < 3) | (F.col("std") == 0), 0.0).otherwise(F.coalesce(F.round("skew", 4), F.lit(0.0)))
     four = lambda c: F.round(c, 4).alias(c)
-    return first.join(places, "name").join(medians, "name").select("name", "n", "min", "max", four("mean"), four("median"), four("std"), "q25", "q75", skew.alias("skewness"))
+    found = found.withColumn("median", (F.col("m1") + F.col("m2")) / F.lit(2.0))
+    return first.join(found, "name").select("name", "n", "min", "max", four("mean"), four("median"), four("std"), "q25", "q75", skew.alias("skewness"))
 
 
 def histogram(df: DataFrame, names: list[str], bins: int = BINS, order: str | None = None) -> DataFrame:
