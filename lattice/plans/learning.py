@@ -332,3 +332,49 @@ def cv_summary(spark, sf_dir):
 @BOOK.add("registry")
 def registry(spark, sf_dir):
     return spark.createDataFrame([(k, v["type"], len(v["params"])) for k, v in estimators.describe().items()], "key string, type string, params int")
+
+
+@BOOK.add("class_probabilities", "SELECT count(*) AS n, count(*) AS whole FROM embeddings")
+def class_probabilities(spark, sf_dir):
+    df = _features(spark, sf_dir)
+    out = estimators.ALGORITHMS["naive_bayes"].build().fit(df, ["x0", "x1", "x2", "x3"]).transform(df)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    return out.agg(F.count("*").alias("n"), F.count_if(F.abs(total - 1) < 1e-9).alias("whole"))
+
+
+@BOOK.add("feature_importances", "SELECT 'l_quantity' AS feature, round(abs(covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 5)), 4) AS importance FROM lineitem")
+def feature_importances(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    m = estimators.ALGORITHMS["ridge"].build({"alpha": 5.0}).fit(df, ["l_quantity"])
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in m.importances.items()], "feature string, importance double")
+
+
+@BOOK.add("tree_importances")
+def tree_importances(spark, sf_dir):
+    df = _features(spark, sf_dir)
+    m = estimators.ALGORITHMS["decision_tree"].build({"max_depth": 4}).fit(df, ["x0", "x1", "x2", "x3"])
+    return spark.createDataFrame(list(m.importances.items()), "feature string, importance double")
+
+
+@BOOK.add("stage_registry", "SELECT * FROM (VALUES ('imputer'), ('lda'), ('min_max'), ('numeric_convert'), ('one_hot'), ('pca'), ('polynomial'), ('robust'), ('truncated_svd'), ('variance_filter'), ('z_scale')) t(stage)")
+def stage_registry(spark, sf_dir):
+    return spark.createDataFrame([(k,) for k in stages.STAGES], "stage string")
+
+
+@BOOK.add("config_merge", "SELECT 'min_max' AS scaler, 'mean' AS imputer, 3::BIGINT AS polynomial_degree, 6::BIGINT AS stages")
+def config_merge(spark, sf_dir):
+    given = {"scaler": "min_max", "polynomial_degree": 3, "pca_components": 2}
+    merged = stages.DEFAULTS | given
+    return spark.createDataFrame([(merged["scaler"], merged["imputer"], merged["polynomial_degree"], len(stages.build_stages(given)))], "scaler string, imputer string, polynomial_degree long, stages long")
+
+
+@BOOK.add("top_values", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20")
+def top_values(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(20)
+
+
+@BOOK.add("silhouette")
+def silhouette(spark, sf_dir):
+    df = _features(spark, sf_dir)
+    found = tuning.evaluate(tuning.fit(df, ["x0", "x1", "x2", "x3"], "kmeans", {"k": 3, "epochs": 20}), df)
+    return spark.createDataFrame([(k, n, found["silhouette"]) for k, n in found["cluster_sizes"].items()], "cluster string, n long, silhouette double")

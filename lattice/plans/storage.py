@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import export, tuning
 from ..session import new_path
 from ..sources import tables
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, validate
 from ..streaming import scoring
 from .base import Book, table
 from .learning import _features
@@ -128,3 +128,34 @@ def stream_scoring(spark, sf_dir):
     stream = spark.readStream.schema(df.schema).parquet(path)
     scoring.score_stream(stream, pipeline, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).agg(F.count("prediction").alias("n"))
+
+
+@BOOK.add("validation", "SELECT * FROM (VALUES ('dataset_id', 'dataset_id is not an integer'), ('name', 'name is required'), ('task_type', 'task_type is none of classification,regression,clustering')) t(field, error)")
+def validation(spark, sf_dir):
+    rules = {"name": "required|max_length[255]", "dataset_id": "required|integer", "task_type": "required|in_list[classification,regression,clustering]", "description": "max_length[1000]"}
+    return spark.createDataFrame(list(validate({"name": "", "dataset_id": "x", "task_type": "ranking"}, rules).items()), "field string, error string")
+
+
+@BOOK.add("dataset_delete", "SELECT 2::BIGINT AS id, 'kept' AS name")
+def dataset_delete(spark, sf_dir):
+    root = new_path(spark)
+    c = Catalog(spark, root)
+    table(spark, sf_dir, "region").write.parquet(f"{root}/files/one")
+    c.insert("datasets", name="gone", file_path=f"{root}/files/one")
+    c.insert("datasets", name="kept")
+    c.delete_dataset(1)
+    return c.listing("datasets").select("id", "name")
+
+
+@BOOK.add("prediction_log", "SELECT 1::BIGINT AS id, 'a' AS prediction UNION ALL SELECT 2, 'b'")
+def prediction_log(spark, sf_dir):
+    c = Catalog(spark, new_path(spark))
+    for p in "ab":
+        c.log_prediction(project_id=1, model_run_id=1, input_data="{}", prediction=p)
+    return c.table("predictions").select("id", "prediction")
+
+
+@BOOK.add("batch_predict", "SELECT vec_id AS row FROM embeddings")
+def batch_predict(spark, sf_dir):
+    df = _features(spark, sf_dir)
+    return tuning.predict_rows(tuning.fit(df, ["x0", "x1", "x2", "x3"], "naive_bayes"), df.select("x3", "x1", "x0", "x2", "row_idx")).select("row")
