@@ -200,21 +200,21 @@ def roc(spark, sf_dir):
 
 # -- estimators with SQL
 
-_KNN = f"""WITH q AS (SELECT i, j, x FROM {CELLS} WHERE i % 20 = 0 AND j < 4), t AS (SELECT i AS t, j, x AS y FROM {CELLS} WHERE i % 20 <> 0 AND j < 4),
+_KNN = f"""WITH q AS (SELECT i, j, x FROM {CELLS} WHERE i % 20 = 0 AND j < 4), t AS (SELECT i AS t, j, x AS y FROM {CELLS} WHERE j < 4),
 d AS (SELECT i, t, sqrt(sum((x - y) * (x - y))) AS d FROM q JOIN t USING (j) GROUP BY i, t), n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, t) AS k FROM d)"""
 
 
 @BOOK.add("knn", _KNN + ", v AS (SELECT n.i, label, count(*) AS c FROM n JOIN embeddings ON vec_id = t WHERE k <= 5 GROUP BY n.i, label) SELECT i AS row_idx, CAST(label AS VARCHAR) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, label) AS r FROM v) WHERE r = 1")
 def knn(spark, sf_dir):
     df = _features(spark, sf_dir)
-    model = estimators.ALGORITHMS["knn"].build({"k": 5}).fit(df.where("row_idx % 20 != 0"), ["x0", "x1", "x2", "x3"])
+    model = estimators.ALGORITHMS["knn"].build({"k": 5}).fit(df, ["x0", "x1", "x2", "x3"])
     return model.transform(df.where("row_idx % 20 = 0")).select("row_idx", "prediction")
 
 
 @BOOK.add("knn_regressor", _KNN + ", v AS (SELECT n.i, avg(label) AS p FROM n JOIN embeddings ON vec_id = t WHERE k <= 5 GROUP BY n.i) SELECT i AS row_idx, round(p, 6) AS prediction FROM v")
 def knn_regressor(spark, sf_dir):
     df = _features(spark, sf_dir)
-    model = estimators.ALGORITHMS["knn_regressor"].build({"k": 5}).fit(df.where("row_idx % 20 != 0"), ["x0", "x1", "x2", "x3"])
+    model = estimators.ALGORITHMS["knn_regressor"].build({"k": 5}).fit(df, ["x0", "x1", "x2", "x3"])
     return model.transform(df.where("row_idx % 20 = 0")).select("row_idx", F.round("prediction", 6).alias("prediction"))
 
 

@@ -141,15 +141,15 @@ def matrix_median(spark, sf_dir):
     return c.agg(F.round(F.median("x"), 6).alias("median"), F.round(F.percentile("x", 0.9), 6).alias("q90"), F.round(F.avg((F.col("x") - 1) * (F.col("x") - 1)), 6).alias("about_one"))
 
 
-@BOOK.add("matrix_trace", f"SELECT round(sum(x), 6) AS trace FROM {CELLS} WHERE i = j")
+@BOOK.add("matrix_trace", f"SELECT round(sum(x * x), 4) AS trace FROM {CELLS}")
 def matrix_trace(spark, sf_dir):
-    square = Matrix(embeddings(spark, sf_dir).df.where("row_id < 64"), 64, 64)
-    return square.diagonal().df.agg(F.round(F.sum("x"), 6).alias("trace"))
+    """Of the Gram matrix, whose trace is the sum of all squares."""
+    return embeddings(spark, sf_dir).gram().diagonal().df.agg(F.round(F.sum("x"), 4).alias("trace"))
 
 
-@BOOK.add("matrix_reduce", f"SELECT round(sum(x * power(0.5::DOUBLE, 63 - j)), 6) AS y, i FROM {CELLS} WHERE i < 10 GROUP BY i")
+@BOOK.add("matrix_reduce", f"SELECT round(sum(x * power(0.5::DOUBLE, 63 - j)), 6) AS y, i FROM {CELLS} GROUP BY i")
 def matrix_reduce(spark, sf_dir):
-    return embeddings(spark, sf_dir).df.where("row_id < 10").select(F.col("row_id").alias("i"), tidy(vectors.reduce_(F.col("v"), lambda a, x: a * 0.5 + x, F.lit(0.0))).alias("y"))
+    return embeddings(spark, sf_dir).df.select(F.col("row_id").alias("i"), tidy(vectors.reduce_(F.col("v"), lambda a, x: a * 0.5 + x, F.lit(0.0))).alias("y"))
 
 
 _ROW = {"row_sums": "sum(x)", "row_means": "avg(x)", "row_maxima": "max(x)", "row_minima": "min(x)"}
@@ -233,16 +233,15 @@ def augment(spark, sf_dir):
     return cells(m.augment(m.apply("square")))
 
 
-@BOOK.add("repeat", f"SELECT i + 5 * a AS i, CAST(j + 64 * b AS BIGINT) AS j, round(x, 6) + 0.0 AS y FROM {CELLS}, range(2) t(a), range(3) u(b) WHERE i < 5")
+@BOOK.add("repeat", f"SELECT i + (SELECT count(*) FROM embeddings) * a AS i, CAST(j + 64 * b AS BIGINT) AS j, round(x, 6) + 0.0 AS y FROM {CELLS}, range(2) t(a), range(3) u(b)")
 def repeat(spark, sf_dir):
-    return cells(Matrix(embeddings(spark, sf_dir).df.where("row_id < 5"), 5, 64).repeat(2, 3))
+    return cells(embeddings(spark, sf_dir).repeat(2, 3))
 
 
-@BOOK.add("symmetric", "SELECT true AS gram, false AS first_rows")
+@BOOK.add("symmetric", "SELECT true AS gram, false AS oblong")
 def symmetric(spark, sf_dir):
     m = embeddings(spark, sf_dir)
-    square = Matrix(m.df.where("row_id < 64"), 64, 64)
-    return spark.range(1).select(F.lit(m.gram().symmetric(1e-6)).alias("gram"), F.lit(square.symmetric()).alias("first_rows"))
+    return spark.range(1).select(F.lit(m.gram().symmetric(1e-6)).alias("gram"), F.lit(m.symmetric()).alias("oblong"))
 
 
 @BOOK.add("shape", "SELECT count(*) AS m, CAST(min(len(embedding)) AS BIGINT) AS n, count(*) = min(len(embedding)) AS square FROM embeddings")
@@ -267,17 +266,26 @@ for _name in ("rand", "uniform", "gaussian", "poisson"):
 # -- products
 
 
-@BOOK.add("matmul", f"WITH e AS (SELECT * FROM {CELLS} WHERE i < 64) SELECT a.i, CAST(b.j AS BIGINT) AS j, round(sum(a.x * b.x), 5) + 0.0 AS y FROM e a JOIN e b ON a.j = b.i GROUP BY a.i, b.j")
+_WITH_GRAM = f"WITH e AS {CELLS}, g AS (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) / 1000 AS x FROM e a JOIN e b ON a.i = b.i GROUP BY a.j, b.j)"
+_TIMES_GRAM = _WITH_GRAM + " SELECT e.i, CAST(g.j AS BIGINT) AS j, round(sum(e.x * g.x), 5) + 0.0 AS y FROM e JOIN g ON e.j = g.i GROUP BY e.i, g.j"
+
+
+def _small_gram(m: Matrix) -> Matrix:
+    return m.gram().map(lambda x: x / 1000)
+
+
+@BOOK.add("matmul", _TIMES_GRAM)
 def matmul(spark, sf_dir):
-    square = Matrix(embeddings(spark, sf_dir).df.where("row_id < 64"), 64, 64)
-    return cells(square.matmul(square), 5)
+    m = embeddings(spark, sf_dir)
+    return cells(m.matmul(_small_gram(m)), 5)
 
 
-@BOOK.add("matmul_join", f"WITH e AS (SELECT * FROM {CELLS} WHERE i < 64) SELECT a.i, CAST(b.j AS BIGINT) AS j, round(sum(a.x * b.x), 5) + 0.0 AS y FROM e a JOIN e b ON a.j = b.i GROUP BY a.i, b.j")
+@BOOK.add("matmul_join", _TIMES_GRAM)
 def matmul_join(spark, sf_dir):
-    c = embeddings(spark, sf_dir).cells().where("i < 64")
-    other = c.select(F.col("i").cast("int").alias("j"), F.col("j").alias("k"), F.col("x").alias("y"))
-    made = c.join(other, "j").groupBy("i", F.col("k").cast("long").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("x"))
+    """The same product as a join of cells, the way of large right sides."""
+    m = embeddings(spark, sf_dir)
+    other = _small_gram(m).cells().select(F.col("i").cast("int").alias("j"), F.col("j").alias("k"), F.col("x").alias("y"))
+    made = m.cells().join(other, "j").groupBy("i", F.col("k").cast("long").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("x"))
     return made.select("i", "j", tidy("x", 5).alias("y"))
 
 
@@ -286,10 +294,11 @@ def matmul_gram(spark, sf_dir):
     return cells(embeddings(spark, sf_dir).gram(), 4)
 
 
-@BOOK.add("matmul_chain", f"WITH e AS (SELECT * FROM {CELLS} WHERE i < 64), p AS (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM e a JOIN e b ON a.j = b.i GROUP BY a.i, b.j) SELECT p.i, CAST(e.j AS BIGINT) AS j, round(sum(p.x * e.x), 4) + 0.0 AS y FROM p JOIN e ON p.j = e.i GROUP BY p.i, e.j")
+@BOOK.add("matmul_chain", _WITH_GRAM + ", p AS (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j) SELECT e.i, CAST(p.j AS BIGINT) AS j, round(sum(e.x * p.x), 4) + 0.0 AS y FROM e JOIN p ON e.j = p.i GROUP BY e.i, p.j")
 def matmul_chain(spark, sf_dir):
-    square = Matrix(embeddings(spark, sf_dir).df.where("row_id < 64"), 64, 64)
-    return cells(chain(square, square, square), 4)
+    m = embeddings(spark, sf_dir)
+    g = _small_gram(m)
+    return cells(chain(m, g, g), 4)
 
 
 @BOOK.add("matvec", f"WITH e AS {CELLS}, w AS (SELECT j, avg(x) AS w FROM e GROUP BY j) SELECT i, round(sum(x * w), 6) + 0.0 AS y FROM e JOIN w USING (j) GROUP BY i")
@@ -305,10 +314,10 @@ def dot(spark, sf_dir):
     return a.df.join(b.df.select("i", F.col("x").alias("z")), "i").agg(F.round(F.sum(F.col("x") * F.col("z")), 5).alias("y"))
 
 
-@BOOK.add("outer", f"WITH e AS {CELLS} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(a.x * b.x, 6) + 0.0 AS y FROM e a, e b WHERE a.i = 0 AND b.i = 1")
+@BOOK.add("outer", f"WITH e AS {CELLS}, c AS (SELECT j, avg(x) AS m, max(x) AS h FROM e GROUP BY j) SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(a.m * b.h, 6) + 0.0 AS y FROM c a, c b")
 def outer(spark, sf_dir):
     m = embeddings(spark, sf_dir)
-    return m.row(0).outer(m.row(1)).select("i", "j", tidy("x").alias("y"))
+    return m.column_means().outer(m.column_maxima()).select("i", "j", tidy("x").alias("y"))
 
 
 _PAIR = "(SELECT vec_id AS i, [CAST(x AS DOUBLE) FOR x IN embedding[1:3]] AS v, [CAST(x AS DOUBLE) FOR x IN embedding[4:6]] AS w FROM embeddings)"
