@@ -97,12 +97,12 @@ def at_places(values: DataFrame, places: dict[str, tuple[float, Column]]) -> Dat
 
     brackets = about.select("name", F.explode(F.array(*[at(q, s, p) for q, (s, p) in places.items()])).alias("b")).select("name", "b.*")
     # A row for each name and label: as small as the table is wide.
-    marked = values.join(F.broadcast(brackets), "name")
-    below = marked.groupBy("name", "q").agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
-    inside = marked.where("v >= low AND v <= high").groupBy("name", "q", "place", "v").agg(F.count("*").alias("c"))
-    running = Window.partitionBy("name", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = inside.join(F.broadcast(below), ["name", "q"]).withColumn("upto", F.col("below") + F.sum("c").over(running))
-    return upto.where("place >= upto - c AND place < upto").select("name", "q", "v")
+    marked = values.join(F.broadcast(brackets), "name").where("v <= high")
+    # All values below a bracket are one group (null, first in order); those inside are counted each.
+    counted = marked.groupBy("name", "q", "place", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    running = Window.partitionBy("name", "q").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("upto", F.sum("c").over(running))
+    return upto.where("v IS NOT NULL AND place >= upto - c AND place < upto").select("name", "q", "v")
 
 
 def order_statistics(values: DataFrame, shares: list[float]) -> DataFrame:
