@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import softmax
 from ..session import map_arrow, materialise, ship
 from . import linalg
+from .graph import components
 from .matrix import Matrix, numbers
 from .metrics import class_order
 
@@ -538,22 +539,11 @@ class Dbscan(Estimator):
         return _DbscanModel(found)
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id in reach, by passing minima along edges and jumping to the minimum's minimum."""
-    edges = materialise(edges.union(edges.select("v", "u")).distinct())
-    labels = edges.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id"))
-    before = None
-    for _ in range(rounds):
-        passed = edges.join(labels.select(F.col("id").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
-        labels = labels.join(passed, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("j"))
-        labels = labels.join(jump, "component", "left").select("id", F.coalesce("j", "component").alias("component"))
-        labels = materialise(labels)
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return labels
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id in reach of every node of (u, v); a node linked with itself only is its own."""
+    edges = materialise(edges)
+    nodes = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
+    return materialise(nodes.join(components(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
 class _DbscanModel(Model):

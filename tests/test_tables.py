@@ -164,6 +164,19 @@ def test_clusterers(blobs, key, params):
     assert out.count() == 90
 
 
+def test_dbscan_follows_a_long_chain(spark):
+    """One chain of 3,000 rows whose ids don't rise along it, a pair apart from it, and noise."""
+    ids = np.random.default_rng(5).permutation(3000).tolist()
+    df = spark.createDataFrame([(i, float(k), 0.0) for k, i in enumerate(ids)] + [(3000, 0.0, 9.0), (3001, 1.0, 9.0), (3002, 0.0, 99.0)], "row_idx long, x double, y double")
+    out = estimators.ALGORITHMS["dbscan"].build({"radius": 1.0, "min_samples": 2}).fit(df, ["x", "y"]).transform(df)
+    assert {(r.prediction, r["count"]) for r in out.groupBy("prediction").count().collect()} == {(0, 3000), (1, 2), (-1, 1)}
+
+
+def test_connected_keeps_lone_nodes(spark):
+    edges = spark.createDataFrame([(4, 4), (9, 7), (7, 8), (8, 8)], "u long, v long")
+    assert {tuple(r) for r in estimators.connected(edges).collect()} == {(4, 4), (9, 7), (7, 7), (8, 7)}
+
+
 def test_knn_in_blocks(blobs, monkeypatch):
     df = blobs.select("row_idx", F.array("x", "y").alias("v"))
     train = df.select(F.col("row_idx").alias("t"), "v")
