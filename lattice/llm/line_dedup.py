@@ -1,18 +1,18 @@
 """Line dedup by winnowing over line hashes; DataFrame functions only.
 
 A document is the sequence of its non-blank lines' hashes (ends trimmed). From each line on, a window takes
-lines until it holds MIN_WORDS words or MIN_LINES lines; the window's smallest hash is its fingerprint. Windows
-depend on what follows only, so a run of lines that repeats and holds a window has the same window, with the
-same fingerprint, in both places: no such run is missed. Fingerprints that occur in one place only are
-dropped; the windows of the others are joined with the first place (by document, then line) in which the same
-window stands, matches are extended line by line in both directions, and the later run is deleted. A further
-whole window beyond a match is a match of its own, so extending by MIN_LINES - 1 lines reaches a run's end.
+lines until it holds MIN_WORDS words or MIN_LINES lines; up from each line, another takes lines likewise. The
+windows that start in a run and those that end in it, as far as they lie in it, cover it: the first all lines up
+to where the last of them ends, the second the lines after that. Windows depend on their own lines only, so
+those of a run that stands twice stand in both places, each with the same smallest hash, its fingerprint. So a
+line goes when a window that holds it stands earlier, wherever that is: no run is missed, and none is compared
+with one place only. Fingerprints that occur in one place only are dropped; the windows of the others are joined
+with the first place (by document, then line) in which the same window stands, and those that stand later are
+deleted.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,29 +30,44 @@ def _trim(line: Column) -> Column:
 
 
 def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each window: _id, _th, k (its first line), s (its lines), fp, p (fp's line), hash, left and right context."""
+    """A row for each window, those down from a line and those up from one: _id, _th, k (its first line), s (its lines), fp, p (fp's line), hash."""
     one = F.transform(F.filter(F.transform(_lines(F.col("text")), _trim), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + F.lit(1)).alias("w")))
     rows = docs.select(*common.row_key(), one.alias("l"))
     get = lambda i: F.get("l", i)
 
-    def window(_: Column, k: Column) -> Column:
-        size, total = F.lit(min_lines), [F.lit(0)]
-        for j in range(min_lines - 1):
-            total.append(total[-1] + F.coalesce(get(k + F.lit(j))["w"], F.lit(0)))
-        for j in range(min_lines - 1, 0, -1):
-            size = F.when(total[j] >= min_words, j).otherwise(size)
-        left = [get(k - F.lit(j))["h"] for j in range(1, min_lines)]
-        ahead = [get(k + F.lit(j))["h"] for j in range(2 * min_lines - 1)]
-        return F.struct(k.cast("int").alias("k"), size.alias("s"), F.array(*left).alias("left"), F.array(*ahead).alias("ahead"))
+    def around(_: Column, k: Column) -> Column:
+        below = [get(k + F.lit(j)) for j in range(min_lines)]
+        above = [get(k - F.lit(j)) for j in range(min_lines)]
+        return F.struct(k.cast("int").alias("k"), *[F.array(*[x[c] for x in side]).alias(n + c) for n, side in (("d", below), ("u", above)) for c in "hw"])
+
+    rows = rows.select("_id", "_th", F.size("l").alias("_n"), F.explode(F.transform("l", around)).alias("x")).select("_id", "_th", "_n", "x.*")
+
+    def held(name: str, a: int, b: int) -> Column:
+        total = F.lit(0)
+        for j in range(a, b):
+            total = total + F.coalesce(F.get(name, F.lit(j)), F.lit(0))
+        return total
 
-    rows = rows.select("_id", "_th", F.size("l").alias("_n"), F.explode(F.transform("l", window)).alias("x")).select("_id", "_th", "_n", "x.*")
-    rows = rows.where(F.col("k") + F.col("s") <= F.col("_n"))
+    def size(name: str) -> Column:
+        found = F.lit(min_lines)
+        for j in range(min_lines - 1, 0, -1):
+            found = F.when(held(name, 0, j) >= min_words, j).otherwise(found)
+        return found
+
+    rows = rows.withColumns({"s": size("dw"), "t": size("uw")})
+    # A window up from a line is one down from its first line too unless less than all its lines, from there, hold enough.
+    other = F.lit(False)
+    for j in range(2, min_lines + 1):
+        other = other | ((F.col("t") == j) & (held("uw", 1, j) >= min_words))
+    down = F.when(F.col("k") + F.col("s") <= F.col("_n"), F.struct("k", "s", F.slice("dh", F.lit(1), F.col("s")).alias("hs")))
+    top = F.col("k") - F.col("t") + F.lit(1)
+    up = F.when((top >= 0) & other, F.struct(top.alias("k"), F.col("t").alias("s"), F.reverse(F.slice("uh", F.lit(1), F.col("t"))).alias("hs")))
+    rows = rows.select("_id", "_th", F.explode(F.array(down, up)).alias("x")).where("x IS NOT NULL").select("_id", "_th", "x.*")
     lowest = F.lit(None).cast("struct<h:bigint,p:int>")
     for j in range(min_lines):
-        lowest = F.least(lowest, F.when(F.lit(j) < F.col("s"), F.struct(F.get("ahead", F.lit(j)).alias("h"), (F.col("k") + F.lit(j)).alias("p"))))
-    right = F.slice("ahead", F.col("s") + F.lit(1), F.lit(min_lines - 1))
-    rows = rows.select("_id", "_th", "k", "s", lowest.alias("f"), F.xxhash64(F.slice("ahead", F.lit(1), F.col("s"))).alias("hash"), "left", right.alias("right"))
-    return rows.select("_id", "_th", "k", "s", F.col("f.h").alias("fp"), F.col("f.p").alias("p"), "hash", "left", "right")
+        lowest = F.least(lowest, F.when(F.lit(j) < F.col("s"), F.struct(F.get("hs", F.lit(j)).alias("h"), (F.col("k") + F.lit(j)).alias("p"))))
+    rows = rows.select("_id", "_th", "k", "s", lowest.alias("f"), F.xxhash64("hs").alias("hash"))
+    return rows.select("_id", "_th", "k", "s", F.col("f.h").alias("fp"), F.col("f.p").alias("p"), "hash")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -62,16 +77,10 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     # Grouped by another key than the joins', so that these deal both sides anew and can split a hot key.
     often = all_windows.groupBy(F.bitwise_not("fp").alias("g")).agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select(F.bitwise_not("g").alias("fp"))
     some = all_windows.join(often, "fp", "left_semi")
-    at = F.struct("_id", "_th", "k", "left", "right")
+    at = F.struct("_id", "_th", "k")
     first = some.groupBy(F.bitwise_not("hash").alias("g")).agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.bitwise_not("g").alias("hash"), "_first")
-    met = some.join(first, "hash").where(F.struct("_id", "_th", "k") > F.struct("_first._id", "_first._th", "_first.k"))
-
-    def agreeing(side: str) -> Column:
-        same = [F.coalesce(F.get(side, F.lit(j)) == F.get(f"_first.{side}", F.lit(j)), F.lit(False)) for j in range(min_lines - 1)]
-        whole = [reduce(lambda a, b: a & b, same[: j + 1]) for j in range(len(same))]
-        return reduce(lambda a, b: a + b, [w.cast("int") for w in whole], F.lit(0))
-
-    run = F.struct((F.col("k") - agreeing("left")).alias("a"), (F.col("k") + F.col("s") + agreeing("right")).alias("b"))
+    met = some.join(first, "hash").where(F.struct("_id", "_th", "k") > F.col("_first"))
+    run = F.struct(F.col("k").alias("a"), (F.col("k") + F.col("s")).alias("b"))
     return met.select("_id", "_th", run.alias("run")).groupBy("_id", "_th").agg(F.collect_set("run").alias("runs"))
 
 

@@ -87,3 +87,45 @@ def test_very_long(make, prose):
     lines = [prose(6, k).replace("\n", " ") for k in range(8000)]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(make([(1, "\n".join(lines)), (2, "\n".join(lines[:4000]))])).collect()}
     assert got == {1: 0, 2: 4000}
+
+
+def whole(rows, key):
+    """Texts after dedup by the docstring of dedup_lines(): each line of each run that holds enough and stands earlier, anywhere, goes."""
+    docs = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        solid = [k for k, x in enumerate(lines) if x.strip(" \t\r")]
+        docs.append((i, t, lines, solid, [lines[k].strip(" \t\r") for k in solid]))
+
+    def runs(d):
+        x = docs[d][4]
+        for a in range(len(x)):
+            for b in range(a + 1, len(x) + 1):
+                if b - a >= MIN_LINES or sum(y.count(" ") + 1 for y in x[a:b]) >= MIN_WORDS:
+                    yield a, b, tuple(x[a:b]), key(*docs[d][:2]) + (a,)
+
+    first, gone = {}, [set() for _ in docs]
+    for d in range(len(docs)):
+        for _, _, run, place in runs(d):
+            first[run] = min(first.get(run, place), place)
+    for d in range(len(docs)):
+        for a, b, run, place in runs(d):
+            if first[run] < place:
+                gone[d] |= set(docs[d][3][a:b])
+    return [(i, t if not g else "\n".join(x for k, x in enumerate(lines) if k not in g), len(g)) for (i, t, lines, _, _), g in zip(docs, gone, strict=True)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matches_the_definition(make, prose, odd, seed):
+    rows = corpus(prose, seed) + [(1000 + k, t) for k, t in enumerate(odd)]
+    rows += [(2000, "a\n" * 12), (2001, "\n".join("abcdefgh")), (2002, "\n".join("zabcdefghz"))]
+    random.Random(seed).shuffle(rows)
+    got = {(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(make(rows)).collect()}
+    assert got == set(whole(rows, lambda i, t: (i,)))
+
+
+def test_run_that_stands_longer_after_its_first_place(make, prose):
+    hot = prose(50, 9).replace("\n", " ")
+    rows = [(1, hot + "\nown"), (2, f"{hot}\ny\nz\nafter 2"), (3, f"{hot}\ny\nz\nafter 3"), (4, f"y\nz\n{hot}\n4"), (5, f"y\nz\n{hot}\n5")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()}
+    assert got == {1: hot + "\nown", 2: "y\nz\nafter 2", 3: "after 3", 4: "y\nz\n4", 5: "5"}
