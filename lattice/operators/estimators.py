@@ -283,15 +283,29 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, key: str = ROWS) -> Da
     return merged.select("key", F.explode("n").alias("n")).select("key", "n.d", "n.t")
 
 
+#: Distances that a task holds at once.
+KNN_CELLS = 2_000_000
+
+
 def _nearest_batch(keys: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest by sums of squared differences; products with a bound of their error only rule rows out."""
     out_key, out_d, out_t = [], [], []
-    for a in range(0, len(keys), 256):
-        part = q[a : a + 256]
-        d = np.sqrt(np.maximum(((part[:, None, :] - v[None, :, :]) ** 2).sum(axis=2), 0)) if len(v) * part.shape[-1] < 200_000 else np.sqrt(np.maximum((part**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * part @ v.T, 0))
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]  # ids rise, so ties go to the smaller
-        out_key.append(np.repeat(keys[a : a + 256], best.shape[1]))
-        out_d.append(np.take_along_axis(d, best, 1).ravel())
-        out_t.append(ids[best].ravel())
+    step = max(1, min(256, KNN_CELLS // max(len(v), 1)))
+    norms = (v**2).sum(axis=-1)
+    for a in range(0, len(keys) if len(v) else 0, step):
+        part = q[a : a + step]
+        both = (part**2).sum(axis=-1)[:, None] + norms[None, :]
+        error = 8 * (part.shape[-1] + 8) * np.finfo(float).eps * both
+        about = both - 2 * part @ v.T
+        bound = np.partition(about + error, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+        near = ~(about - error > bound[:, None])  # what isn't a number stays
+        for key, x, row in zip(keys[a : a + step], part, near, strict=True):
+            at = np.flatnonzero(row)
+            d = np.sqrt(((x - v[at]) ** 2).sum(axis=1))
+            best = np.argsort(d, kind="stable")[:k]  # ids rise, so ties go to the smaller
+            out_key.append(np.repeat(key, len(best)))
+            out_d.append(d[best])
+            out_t.append(ids[at[best]])
     join = lambda xs, t: pa.array(np.concatenate(xs) if xs else [], t)
     return pa.RecordBatch.from_arrays([join(out_key, pa.int64()), join(out_d, pa.float64()), join(out_t, pa.int64())], ["key", "d", "t"])
 

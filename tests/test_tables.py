@@ -185,6 +185,19 @@ def test_knn_in_blocks(blobs, monkeypatch):
     assert sorted(map(tuple, estimators.nearest(df, train, 3).select("key", F.round("d", 9), "t").collect())) == whole
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_knn_ties_in_large_tables(shift):
+    """Rounded columns have many equal distances; the smaller t comes first at every size."""
+    v = np.random.default_rng(3).normal(size=(60_000, 4)).round(2) + shift
+    v[:40] = v[100:140]
+    asked = np.concatenate([np.arange(200), np.arange(1000, 1200)])
+    got = estimators._nearest_batch(asked, v[asked], np.arange(len(v)), v, 5).to_pydict()
+    for n, i in enumerate(asked.tolist()):
+        d = np.sqrt(((v[i] - v) ** 2).sum(axis=1))
+        want = np.argsort(d, kind="stable")[:5]
+        assert got["t"][5 * n : 5 * n + 5] == want.tolist() and got["d"][5 * n : 5 * n + 5] == d[want].tolist()
+
+
 def test_registry_enforces_ranges():
     for bad in ({"k": 0}, {"nothing": 1}, {"k": 10**9}):
         with pytest.raises(ValueError):
