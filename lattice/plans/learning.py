@@ -92,6 +92,10 @@ def polynomial_interactions(spark, sf_dir):
     return out.select("p_partkey", "a", "b", "c", F.round("d", 4).alias("d"), F.round("e", 4).alias("e"))
 
 
+#: Components of an embedding.
+WIDTH = 64
+
+
 def _features(spark, sf_dir, n: int = 4):
     e = table(spark, sf_dir, "embeddings")
     d = F.col("embedding").cast("array<double>")
@@ -112,13 +116,13 @@ def pca(spark, sf_dir):
 
 @BOOK.add("linear_discriminants")
 def linear_discriminants(spark, sf_dir):
-    df = _features(spark, sf_dir)
+    df = _features(spark, sf_dir, WIDTH)
     return stages.LinearDiscriminants(2).fit(df).transform(df)
 
 
 @BOOK.add("svd_projection")
 def svd_projection(spark, sf_dir):
-    df = _features(spark, sf_dir)
+    df = _features(spark, sf_dir, WIDTH)
     return stages.TruncatedSvd(2).fit(df).transform(df)
 
 
