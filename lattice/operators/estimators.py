@@ -130,19 +130,19 @@ def _columns(**more: Any) -> dict:
 def _random_forest(p, seed, about):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(**_columns(probabilityCol="_probability", rawPredictionCol="_raw"), numTrees=p["estimators"], subsamplingRate=p["ratio"], maxDepth=min(30, p["max_depth"]), minInstancesPerNode=p["min_samples"], seed=seed)
+    return RandomForestClassifier(**_columns(probabilityCol="_probability", rawPredictionCol="_raw"), numTrees=p["estimators"], subsamplingRate=p["ratio"], maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples"], seed=seed)
 
 
 def _tree(p, seed, about):
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    return DecisionTreeClassifier(**_columns(probabilityCol="_probability", rawPredictionCol="_raw"), maxDepth=min(30, p["max_depth"]), minInstancesPerNode=p["min_samples"], seed=seed)
+    return DecisionTreeClassifier(**_columns(probabilityCol="_probability", rawPredictionCol="_raw"), maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples"], seed=seed)
 
 
 def _regression_tree(p, seed, about):
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    return DecisionTreeRegressor(**_columns(), maxDepth=min(30, p["max_depth"]), seed=seed)
+    return DecisionTreeRegressor(**_columns(), maxDepth=p["max_depth"], seed=seed)
 
 
 def _boost(p, seed, about):
@@ -608,20 +608,20 @@ CLASSIFY, REGRESS, CLUSTER = "classification", "regression", "clustering"
 ALGORITHMS: dict[str, Algorithm] = {
     a.key: a
     for a in (
-        Algorithm("random_forest", CLASSIFY, "Random forest", {"estimators": _i(100, 1, 1000), "ratio": _f(0.2, 0.01, 1.0), "max_depth": _i(10, 1, 50), "min_samples": _i(3, 1, 100)}, _random_forest),
+        Algorithm("random_forest", CLASSIFY, "Random forest", {"estimators": _i(100, 1, 1000), "ratio": _f(0.2, 0.01, 1.0), "max_depth": _i(10, 1, 30), "min_samples": _i(3, 1, 100)}, _random_forest),
         Algorithm("knn", CLASSIFY, "Nearest neighbours", {"k": _i(5, 1, 1000), "weighted": Param("bool", False)}, Neighbours),
         Algorithm("svc", CLASSIFY, "Support vectors", {"c": _f(1.0, 1e-4, 1e4), "kernel": Param("choice", "rbf", options=("rbf", "linear", "poly"))}, SupportVectors),
         Algorithm("naive_bayes", CLASSIFY, "Gaussian naive Bayes", {"priors": Param("list", None)}, GaussianBayes),
         Algorithm("ada_boost", CLASSIFY, "AdaBoost", {"estimators": _i(100, 1, 1000), "learning_rate": _f(1.0, 1e-3, 10.0)}, AdaBoost),
         Algorithm("gradient_boost", CLASSIFY, "Gradient boosting", {"estimators": _i(100, 1, 1000), "learning_rate": _f(0.1, 1e-3, 1.0), "max_depth": _i(3, 1, 30), "ratio": _f(0.8, 0.01, 1.0)}, _boost),
         Algorithm("logistic_regression", CLASSIFY, "Logistic regression", {"batch": _i(128, 1, 100_000), "optimizer": Param("choice", "adam", options=("adam", "sgd", "rmsprop", "momentum", "adagrad")), "l2": _f(1e-4, 0.0, 100.0), "epochs": _i(100, 1, 10_000)}, _logistic),
-        Algorithm("decision_tree", CLASSIFY, "Decision tree", {"max_depth": _i(10, 1, 50), "min_samples": _i(3, 1, 100)}, _tree),
+        Algorithm("decision_tree", CLASSIFY, "Decision tree", {"max_depth": _i(10, 1, 30), "min_samples": _i(3, 1, 100)}, _tree),
         Algorithm("ridge", REGRESS, "Ridge", {"alpha": _f(1.0, 0.0, 1e6)}, Ridge),
         Algorithm("lasso", REGRESS, "Lasso", {"alpha": _f(1.0, 0.0, 1e6)}, _lasso),
         Algorithm("svr", REGRESS, "Support vector regression", {"c": _f(1.0, 1e-4, 1e4), "epsilon": _f(0.1, 0.0, 100.0)}, SupportVectorRegressor),
         Algorithm("knn_regressor", REGRESS, "Nearest neighbours", {"k": _i(5, 1, 1000)}, NeighbourRegressor),
         Algorithm("gradient_boost_regressor", REGRESS, "Gradient boosting", {"estimators": _i(100, 1, 1000), "learning_rate": _f(0.1, 1e-3, 1.0), "max_depth": _i(3, 1, 30)}, _boost_regressor),
-        Algorithm("regression_tree", REGRESS, "Regression tree", {"max_depth": _i(10, 1, 50)}, _regression_tree),
+        Algorithm("regression_tree", REGRESS, "Regression tree", {"max_depth": _i(10, 1, 30)}, _regression_tree),
         Algorithm("kmeans", CLUSTER, "k-means", {"k": _i(3, 2, 1000), "epochs": _i(300, 1, 10_000), "min_change": _f(1e-4, 0.0, 1.0)}, _kmeans),
         Algorithm("dbscan", CLUSTER, "DBSCAN", {"radius": _f(0.5, 1e-9, 1e9), "min_samples": _i(5, 1, 100_000)}, Dbscan),
         Algorithm("gaussian_mixture", CLUSTER, "Gaussian mixture", {"k": _i(3, 2, 1000), "epochs": _i(100, 1, 10_000)}, _mixture),

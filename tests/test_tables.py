@@ -205,6 +205,14 @@ def test_registry_enforces_ranges():
     assert json.loads(estimators.registry_json())["svc"]["params"]["kernel"]["options"] == ["rbf", "linear", "poly"]
 
 
+@pytest.mark.parametrize("key", ["random_forest", "decision_tree", "regression_tree"])
+def test_depth_is_never_cut(key):
+    """The engine's trees go 30 deep; more is refused, not cut."""
+    assert estimators.ALGORITHMS[key].build({"max_depth": 30}).params["max_depth"] == 30
+    with pytest.raises(ValueError):
+        estimators.ALGORITHMS[key].build({"max_depth": 31})
+
+
 def test_pipeline_save_load_and_search(spark, blobs, tmp_path):
     df = blobs.withColumn("c", F.when(F.col("row_idx") % 4 == 0, "").otherwise(F.col("label")))
     for key in ("naive_bayes", "decision_tree", "knn"):
