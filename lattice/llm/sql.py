@@ -11,22 +11,25 @@ _SPACED = r"regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
 
 
 def _line_dedup() -> str:
-    ahead = ", ".join(f"lead(x, {j}) OVER o AS a{j}, lead(w, {j}) OVER o AS w{j}" for j in range(1, 2 * MIN_LINES - 1))
-    back = ", ".join(f"lag(x, {j}) OVER o AS b{j}" for j in range(1, MIN_LINES))
-    totals = ["w", *[f"coalesce(w{j}, 0)" for j in range(1, MIN_LINES - 1)]]
-    size = "CASE " + " ".join(f"WHEN {' + '.join(totals[:j])} >= {MIN_WORDS} THEN {j}" for j in range(1, MIN_LINES)) + f" ELSE {MIN_LINES} END"
-    lines = ["x", *[f"a{j}" for j in range(1, 2 * MIN_LINES - 1)]]
-    left = "[" + ", ".join(f"b{j}" for j in range(1, MIN_LINES)) + "]"
-    run = lambda side: " + ".join("CASE WHEN " + " AND ".join(f"coalesce(v.{side}[{i}] = f.{side}[{i}], false)" for i in range(1, j + 1)) + " THEN 1 ELSE 0 END" for j in range(1, MIN_LINES))
+    """Every smallest run down from a line, and up from one, that holds enough; those that stand earlier go."""
+    near = ", ".join(f"lead(x, {j}) OVER o AS a{j}, lead(w, {j}) OVER o AS w{j}, lag(x, {j}) OVER o AS b{j}, lag(w, {j}) OVER o AS z{j}" for j in range(1, MIN_LINES))
+
+    def size(words: str) -> str:
+        totals = ["w", *[f"coalesce({words}{j}, 0)" for j in range(1, MIN_LINES - 1)]]
+        return "CASE " + " ".join(f"WHEN {' + '.join(totals[:j])} >= {MIN_WORDS} THEN {j}" for j in range(1, MIN_LINES)) + f" ELSE {MIN_LINES} END"
+
+    below = ", ".join(["x", *[f"a{j}" for j in range(1, MIN_LINES)]])
+    above = ", ".join(["x", *[f"b{j}" for j in range(1, MIN_LINES)]])
     return f"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 a AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM s),
 t AS (SELECT doc_id, i, trim(l, ' ' || chr(9) || chr(13)) AS x FROM a),
 n AS (SELECT doc_id, i, x, length(x) - length(replace(x, ' ', '')) + 1 AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE x <> ''),
-c AS (SELECT doc_id, k, n, {size} AS s, {left} AS lefts, [{', '.join(lines)}] AS ahead FROM (SELECT *, {ahead}, {back} FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k))),
-v AS (SELECT doc_id, k, s, array_to_string(ahead[1:s], chr(10)) AS h, lefts, ahead[s + 1:s + {MIN_LINES - 1}] AS rights FROM c WHERE k + s <= n),
-f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, k) = 1),
-m AS (SELECT v.doc_id, unnest(range(v.k - ({run('lefts')}), v.k + v.s + ({run('rights')}))) AS k FROM v JOIN f USING (h) WHERE (v.doc_id, v.k) > (f.doc_id, f.k)),
+c AS (SELECT doc_id, k, n, {size("w")} AS s, {size("z")} AS u, [{below}] AS below, [{above}] AS above FROM (SELECT *, {near} FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k))),
+v AS (SELECT doc_id, k, s, array_to_string(below[1:s], chr(10)) AS h FROM c WHERE k + s <= n
+  UNION SELECT doc_id, k - u + 1, u, array_to_string(list_reverse(above[1:u]), chr(10)) FROM c WHERE k - u + 1 >= 0),
+f AS (SELECT h, min((doc_id, k)) AS place FROM v GROUP BY h),
+m AS (SELECT doc_id, unnest(range(k, k + s)) AS k FROM v JOIN f USING (h) WHERE (doc_id, k) > place),
 g AS (SELECT DISTINCT n.doc_id, n.i FROM m JOIN n ON n.doc_id = m.doc_id AND n.k = m.k),
 r AS (SELECT a.doc_id, string_agg(l, chr(10) ORDER BY a.i) FILTER (WHERE g.i IS NULL) AS kept, count(g.i) AS n_removed, count(*) AS n_all FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.i = a.i GROUP BY a.doc_id)
 SELECT d.doc_id, CASE WHEN n_removed = 0 THEN text ELSE coalesce(kept, '') END AS text, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n_all END AS n_lines, n_removed FROM documents d JOIN r ON r.doc_id = d.doc_id"""
