@@ -41,9 +41,14 @@ def space_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def plain_bytes(text: str) -> bytes:
+    """The text with A-Z lower-cased and every other ASCII byte but letters and digits a blank."""
+    return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE)
+
+
 def plain_words(text: str) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
+    return plain_bytes(text).split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
