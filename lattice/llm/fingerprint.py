@@ -1,10 +1,12 @@
 """Document fingerprints from improbable byte windows.
 
 Every window of WIDTH bytes has an entropy; over all documents, the commoner an entropy level is, the less a
-window of that level tells. A window whose level is the rarest within REACH windows on both sides (the first
-one on ties) is a feature. Features go, in order, into a chain of Bloom filters of BITS bits, PER_FILTER in
-each. Two fingerprints are compared filter by filter: the bits they share beyond those expected by chance,
-over the most that could be shared, the best match for each filter of the shorter chain, averaged by bits.
+window of that level tells. A window is a feature if its level is the rarest within REACH windows on both sides;
+among equal levels the window of least hash counts as the rarest (then the first). A text shorter than a window
+is one window. This holds for texts of every length. Features go, in order, into a chain of Bloom filters of BITS
+bits, PER_FILTER in each. Two fingerprints are compared filter by filter: the bits they share beyond those
+expected by chance, over the most that could be shared, the best match for each filter of the shorter chain,
+averaged by bits.
 """
 
 from __future__ import annotations
@@ -20,15 +22,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WIDTH, REACH = 32, 16
+WIDTH, REACH = 16, 8
 BITS, PER_FILTER, HASHES = 2048, 128, 4
 LEVELS = 512
 #: Bytes that are looked at together, and characters of a range of documents.
 BLOCK, RANGE_CHARS = 1 << 18, 2_000_000
 #: Ranges at most: more documents make longer ranges, which are sorted and streamed, not held.
 MOST_RANGES = 20_000
-#: Texts of fewer bytes have too few windows; their FINE-byte windows of least hash within FINE_REACH are features too.
-SHORT, FINE, FINE_REACH = 512, 8, 2
 
 _N = np.arange(WIDTH + 1)
 _F = np.rint(_N * np.log2(np.maximum(_N, 1)) * 1024).astype(np.int32)
@@ -69,40 +69,28 @@ def block_features(parts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     ends = np.cumsum([len(p) for p in parts])
     starts = ends - [len(p) for p in parts]
     if len(joined) < WIDTH:
-        return [_short(p, np.empty(0, np.uint64)) for p in parts]
-    worst = np.uint16(LEVELS)
-    value = rank[levels(joined)].astype(np.uint16)
+        return [_whole(p) for p in parts]
+    of_windows = np.lib.stride_tricks.sliding_window_view(joined, WIDTH)
+    h = np.zeros(len(of_windows), np.uint64)
+    for j in range(0, WIDTH, 8):
+        h = common.mix(h ^ (np.ascontiguousarray(of_windows[:, j : j + 8]).view(np.uint64)[:, 0] + np.uint64(0x9E3779B97F4A7C15)))
+    worst = np.iinfo(np.uint64).max
+    value = (rank[levels(joined)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
     for e in ends[:-1].tolist():  # windows across texts
         value[max(0, e - WIDTH + 1) : e] = worst
     # Texts shorter than a window have none, so every window that is left lies within one text; a window's
     # neighbours in another text count as worst only within WIDTH - 1 >= REACH places, which is all that is seen.
-    fill = np.full(REACH, worst, np.uint16)
+    fill = np.full(REACH, worst, np.uint64)
     low = _sliding_min(np.concatenate([fill, value, fill]), REACH)
     picked = np.flatnonzero((value < worst) & (value < low[: len(value)]) & (value <= low[REACH + 1 : REACH + 1 + len(value)]))
-    windows = joined[picked[:, None] + np.arange(WIDTH)[None, :]].view(np.uint64) if len(picked) else np.empty((0, WIDTH // 8), np.uint64)
-    h = np.zeros(len(picked), np.uint64)
-    for j in range(WIDTH // 8):
-        h = common.mix(h ^ (windows[:, j] + np.uint64(0x9E3779B97F4A7C15)))
+    h = h[picked]
     cuts = np.searchsorted(picked, np.concatenate([starts, [ends[-1]]]))
-    found = [h[cuts[k] : cuts[k + 1]] for k in range(len(parts))]
-    return [_short(p, f) if len(p) < SHORT or not len(f) else f for f, p in zip(found, parts, strict=True)]
-
-
-def _short(text: bytes, found: np.ndarray) -> np.ndarray:
-    """The features of a text with few of its own: those, and fine ones, or else the whole text as one; an empty one has none."""
-    if not text:
-        return np.empty(0, np.uint64)
-    data = np.frombuffer(text, np.uint8).astype(np.uint64)
-    n = len(data) - FINE + 1
-    if n > 0 and len(text) < SHORT:
-        h = np.zeros(n, np.uint64)
-        for k in range(FINE):
-            h |= data[k : k + n] << np.uint64(8 * k)
-        h = common.mix(h)
-        fill = np.full(FINE_REACH, np.iinfo(np.uint64).max, np.uint64)
-        low = _sliding_min(np.concatenate([fill, h, fill]), FINE_REACH)
-        found = np.concatenate([found, h[(h < low[:n]) & (h <= low[FINE_REACH + 1 : FINE_REACH + 1 + n])]])
-    return found if len(found) else np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), np.uint64)
+    return [h[cuts[k] : cuts[k + 1]] if len(p) >= WIDTH else _whole(p) for k, p in enumerate(parts)]
+
+
+def _whole(text: bytes) -> np.ndarray:
+    """The one feature of a text shorter than a window; an empty one has none."""
+    return np.frombuffer(hashlib.blake2b(text, digest_size=8).digest() if text else b"", np.uint64)
 
 
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
@@ -203,16 +191,23 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """docs (doc_id, text) dealt into ranges of ids: _range, _extra, sorted so that the next document follows.
 
     Within a range, documents stand by falling id; after them, marked _extra, stands the first document of the
-    next lower range (after the last range: of the highest).
+    next lower range (after the last range: of the highest). Rows without an id come last, by falling text hash,
+    in ranges of text hashes.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *common.row_key())
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    ranges = min(MOST_RANGES, max(1, -(-chars // range_chars)))
-    cuts: list[int] = []
-    if ranges > 1:
-        got = keyed.agg(F.percentile_approx("_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0]
-        cuts = sorted(set(got or []))
-    keyed = keyed.withColumn("_range", _range_of(cuts, F.col("_id")))
+    size = F.coalesce(F.sum(F.length("text")), F.lit(0))
+    chars = {r.without: r.n for r in keyed.groupBy(F.col("doc_id").isNull().alias("without")).agg(size.alias("n")).collect()}  # two rows
+
+    def cuts(rows: DataFrame, key: str, n: int) -> list[int]:
+        ranges = min(MOST_RANGES, max(1, -(-n // range_chars)))
+        if ranges < 2:
+            return []
+        got = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0]
+        return sorted(set(got or []))
+
+    by_hash, by_id = cuts(keyed.where("doc_id IS NULL"), "_th", chars.get(True, 0)), cuts(keyed.where("doc_id IS NOT NULL"), "_id", chars.get(False, 0))
+    first = len(by_hash) + 1 if True in chars else 0  # the ranges of rows without an id are the lowest
+    keyed = keyed.withColumn("_range", F.when(F.col("doc_id").isNull(), _range_of(by_hash, F.col("_th"))).otherwise(_range_of(by_id, F.col("_id")) + F.lit(first)).cast("int"))
     # One row a range; a range's document of largest id is what the next higher range needs.
     tops = sorted(keyed.groupBy("_range").agg(F.max(F.struct("_id", "_th")).alias("top")).collect(), key=lambda r: r._range)
     heads = [(r.top._id, r.top._th, tops[(k + 1) % len(tops)]._range) for k, r in enumerate(tops)]
@@ -234,7 +229,9 @@ def fingerprints(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     The edited text is the text with its last floor(n_chars / 2) characters replaced by as many of the first
     ones (or all) of the document that follows by falling doc_id; the first follows the last. Null texts count
     as empty; an empty text has an empty fingerprint. Rows of equal id stand by falling text hash; null ids
-    come last. A single document follows itself. Other columns are not read; an empty table gives no rows.
+    come last. A single document follows itself. Repeated rows have equal fingerprints. A very long text has as
+    many filters as its features fill; nothing of it is left out. Other columns are not read, whatever their
+    names; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     rank = level_ranks(docs)
