@@ -88,11 +88,53 @@ def test_language_id_held_out(spark, make, tongues, odd):
     assert language_id.identify(make([]).limit(0), blank).count() == 0
 
 
-def test_presence_is_the_set_of_ngrams():
-    a, b = language_id.presence(["abcabc", "abc" * 50_000])
-    assert a.sum() <= 20 and set(np.flatnonzero(a)) - set(np.flatnonzero(b)) != set() or b.sum() >= 9
-    whole = language_id.presence(["xy" * 70_000])[0]
-    assert whole.sum() == language_id.presence(["xyxyxy"])[0].sum()
+def grams(window):
+    return {window[i : i + n] for n in (1, 2, 3) for i in range(len(window) - n + 1)}
+
+
+def cut(text):
+    text = f" {text.lower()} "
+    return [text[a : a + language_id.WINDOW + 2] for a in range(0, max(1, len(text) - 2), language_id.WINDOW)]
+
+
+def exact_kernel(texts, marks):
+    """The windows' mean kernel, by Python sets."""
+    out = []
+    for t in texts:
+        windows = cut(t)
+        k = [[len(grams(w) & grams(m)) / np.sqrt(len(grams(w)) * len(grams(m))) for m in marks] for w in windows]
+        out.append(np.average(k, axis=0, weights=[len(w) for w in windows]))
+    return np.array(out)
+
+
+def test_kernel_is_exact(tongues, odd):
+    texts = [t or "" for t in odd] + [tongues("aa", 40), tongues("cc", 900), tongues("bb", 7), "\U0010ffff\x00a" * 700]
+    model = language_id.fit_kernel(texts, ["xy"[k % 2] for k in range(len(texts))], landmarks=10)
+    chosen = sorted(range(len(texts)), key=lambda k: (k // 2, k % 2))[:10]
+    marks = [cut(texts[k])[len(cut(texts[k])) // 2] for k in chosen]
+    assert np.abs(model.of_texts(texts) - exact_kernel(texts, marks)).max() < 1e-6
+
+
+def test_all_texts_as_landmarks_give_exact_kernel_ridge(tongues):
+    langs = ["aa", "bb", "cc"]
+    texts = [tongues(langs[k % 3], 12) for k in range(36)]
+    model = language_id.fit_kernel(texts, [langs[k % 3] for k in range(36)], landmarks=36)
+    new = [tongues(langs[k % 3], 9) for k in range(12)]
+    marks = [cut(t)[0] for t in texts]
+    target = np.where(np.arange(36)[:, None] % 3 == np.arange(3), 1.0, -1.0)
+    alpha = np.linalg.solve(exact_kernel(texts, marks) + 1 + language_id.RIDGE * np.eye(36), target)  # + 1: the bias, under the same ridge
+    assert np.abs(model.scores(new) - (exact_kernel(new, marks) + 1) @ alpha).max() < 1e-3
+
+
+@pytest.mark.parametrize("lang", ["aa", "bb", "cc"])
+def test_language_of_ten_million_characters(tongues, lang):
+    rng = random.Random(4)
+    mixed = lambda x, n: " ".join(tongues(x, 1) if rng.random() < 0.9 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789.,!?") for _ in range(5)) for _ in range(n))
+    model = language_id.fit_kernel([mixed(x, 60) for x in ("aa", "bb", "cc") * 20], ["aa", "bb", "cc"] * 20)
+    text = mixed(lang, 150_000)
+    text *= -(-10_000_000 // len(text))
+    scores = model.scores([text, mixed(lang, 3_000)])  # of many windows both
+    assert model.languages[scores[0].argmax()] == lang and abs(scores[0].max() - scores[1].max()) < 0.1
 
 
 def brute_levels(data):
@@ -113,23 +155,100 @@ def test_levels_are_the_windows_entropies():
 
 def test_features_do_not_depend_on_the_block(prose):
     rank = np.random.default_rng(1).permutation(fingerprint.LEVELS)
-    texts = [prose(n, n).encode() for n in (1, 3, 80, 500, 7, 2000)] + [b"", b"a" * 500, b"x" * 31, b"y" * 32, b"a" * 33]
+    texts = [prose(n, n).encode() for n in (1, 3, 80, 500, 7, 2000)] + [b"", b"a" * 500, b"x" * 15, b"y" * 16, b"a" * 17]
     together = fingerprint.features(texts, rank)
     for t, f in zip(texts, together, strict=True):
         assert (fingerprint.features([t], rank)[0] == f).all() and (len(f) > 0) == (len(t) > 0)
-    value = rank[fingerprint.levels(np.frombuffer(texts[5], np.uint8))]
-    r = fingerprint.REACH
-    plain = [i for i in range(len(value)) if all(value[i] < value[j] for j in range(max(0, i - r), i)) and all(value[i] <= value[j] for j in range(i + 1, min(len(value), i + r + 1)))]
-    assert len(plain) == len(together[5])
 
 
-def test_short_texts_have_fine_features(prose):
+def plain_fingerprint(text, rank):
+    """Features and filters by their definition, one window at a time."""
+    import hashlib
+    from collections import Counter
+    from math import log2
+
+    width, reach, mask = fingerprint.WIDTH, fingerprint.REACH, 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def digest(window):
+        h = 0
+        for j in range(0, width, 8):
+            h = mix(h ^ (int.from_bytes(window[j : j + 8], "little") + 0x9E3779B97F4A7C15 & mask))
+        return h
+
+    def level(window):
+        part = lambda n: round(n * log2(n) * 1024)
+        return (part(width) - sum(part(n) for n in Counter(window).values())) * (fingerprint.LEVELS - 1) // part(width)
+
+    windows = [text[i : i + width] for i in range(len(text) - width + 1)]
+    value = [(int(rank[level(w)]), digest(w) >> 16) for w in windows]
+    found = [digest(w) for i, w in enumerate(windows) if all(value[i] < v for v in value[max(0, i - reach) : i]) and all(value[i] <= v for v in value[i + 1 : i + reach + 1])]
+    if not windows:
+        found = [int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")] if text else []
+    filters = []
+    for a in range(0, len(found), fingerprint.PER_FILTER):
+        bits = set()
+        for h in found[a : a + fingerprint.PER_FILTER]:
+            bits |= {(h >> (k * 11)) % fingerprint.BITS for k in range(fingerprint.HASHES)}
+        filters.append(bits)
+    return found, filters
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    best = []
+    for f in a:
+        of = [(len(f & g), len(f) * len(g) / fingerprint.BITS, min(len(f), len(g))) for g in b]
+        best.append(max(min(1, max(0, (s - c) / max(m - c, 1e-9))) for s, c, m in of))
+    return sum(len(f) * x for f, x in zip(a, best)) / sum(map(len, a))
+
+
+def test_fingerprints_by_their_definition(prose):
+    rank = np.random.default_rng(4).permutation(fingerprint.LEVELS)
+    whole = prose(900, 3).encode()
+    texts = [b"", b"a", whole[:15], whole[:16], whole[:17], b"ab" * 300, whole, whole[700:] + prose(50, 8).encode(), *[whole[k : k + n] for k, n in enumerate((100, 500, 511, 512, 513, 530))]]
+    plain = [plain_fingerprint(t, rank) for t in texts]
+    found = fingerprint.features(texts, rank)
+    chains = [fingerprint.chain(f) for f in found]
+    for (features, filters), f, c in zip(plain, found, chains, strict=True):
+        assert features == f.tolist()
+        assert filters == [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in c]
+    for (_, x), c in zip(plain, chains, strict=True):
+        for (_, y), d in zip(plain, chains, strict=True):
+            assert abs(fingerprint.likeness(c, d) - plain_likeness(x, y)) < 2e-6
+
+
+def test_one_rule_for_all_lengths(prose):
+    """A text and its beginning share their features, whatever lengths they have; so do a short text and its edit."""
     rank = np.arange(fingerprint.LEVELS)
-    text = prose(6, 2)[:30]
-    edited = text[:15] + "0123456789abcde"
-    a, b, other = (fingerprint.chain(fingerprint.features([t.encode()], rank)[0]) for t in (text, edited, "QWERTYUIOPASDFGHJKLZXCVBNM1234"))
-    assert 0.1 < fingerprint.likeness(a, b) < 0.9 and fingerprint.likeness(a, other) < 0.1
-    assert len(fingerprint.features([b"ab"], rank)[0]) == 1
+    whole = prose(200, 1).encode()[:1100]
+    for n in (60, 200, 505, 511, 512, 520, 1000):
+        a, b = fingerprint.features([whole, whole[:n]], rank)
+        assert len(set(b.tolist()) - set(a.tolist())) <= 2 and n / 35 < len(b) < n / 5
+    near = []
+    for k in range(30):
+        text, other = prose(12, 2 * k)[:60], prose(12, 2 * k + 1)[:60]
+        a, b, c = (fingerprint.chain(fingerprint.features([t.encode()], rank)[0]) for t in (text, text[:30] + other[:30], other))
+        near.append((fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+    assert np.mean([x for x, _ in near]) > 0.25 and np.mean([y for _, y in near]) < 0.1
+
+
+def test_rows_without_an_id_are_dealt(make, prose):
+    rows = [(None, prose(100, k)) for k in range(60)] + [(k, prose(100, 100 + k)) for k in range(40)]
+    dealt = fingerprint.with_next(make(rows).select("doc_id", "text"), range_chars=4000).where("NOT _extra")
+    sizes = {(r.without, r._range): r["count"] for r in dealt.groupBy(dealt.doc_id.isNull().alias("without"), "_range").count().collect()}
+    assert sum(n for (w, _), n in sizes.items() if w) == 60 and sum(w for w, _ in sizes) > 3 and max(sizes.values()) < 30
+    assert len({r for _, r in sizes}) == len(sizes)
+    got = fingerprint.fingerprints(make(rows), range_chars=4000).collect()
+    assert len(got) == 100 and sorted(r.edited_sha256 for r in got) == sorted(r.edited_sha256 for r in fingerprint.fingerprints(make(rows), range_chars=10**9).collect())
 
 
 def test_fingerprints(spark, make, prose, odd):
