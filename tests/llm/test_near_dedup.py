@@ -96,3 +96,38 @@ def test_long_text(make, prose):
     text = prose(60_000, 3)
     rows = [(1, text), (2, text + " end"), (3, prose(60_000, 4))]
     assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(make(rows)).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_rows_grow_with_the_cluster_not_its_square(make, prose):
+    """Distinct near copies of one text: stars join them; what is left to compare stays in proportion."""
+    words = prose(300, 4).split(" ")
+    rng = random.Random(8)
+    sent = []
+    for n in (600, 2400):
+        rows = []
+        for i in range(n):
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = f"v{i}"
+            rows.append((i, " ".join(copy)))
+        classes = near_dedup.common.materialise(near_dedup.sketch(make(rows)).selectExpr("doc_id AS id", "sig", "n_shingles"))
+        members = near_dedup.common.materialise(near_dedup.shared_keys(classes.select("id", "sig")))
+        stars = near_dedup.stars(members, classes.select("id", "sig"))
+        linked = near_dedup.components(near_dedup.star_links(make(rows), stars, classes.select("id", "n_shingles"), 5, 75))
+        assert stars.count() == n and linked.where("component = 0").count() == n
+        alone = near_dedup.F.when(near_dedup.F.col("id") % 100 == 7, near_dedup.F.col("id")).otherwise(0)  # as if one in a hundred were not joined
+        sent.append(near_dedup.dealt(members.select("key", "id", alone.alias("comp")), "key", 256).count() / members.count())
+    assert sent[1] < 1.5 * sent[0] < 3
+
+
+def test_any_two_of_different_components_meet(spark):
+    from pyspark.sql import functions as F
+
+    for n, block in ((5, 10), (60, 8), (61, 7)):
+        rows = spark.range(n).select(F.lit(1).alias("g"), "id", F.when(F.col("id") < n // 2, 0).otherwise(F.col("id") % 11 + 1).cast("long").alias("comp"))
+        blocks: dict = {}
+        for r in near_dedup.dealt(rows, "g", block, F.lit(1), 10**6).collect():
+            blocks.setdefault((r.kind, r.bi, r.bj), []).append((r.id, r.comp))
+        met = {(a, b) for x in blocks.values() for a, p in x for b, q in x if a < b and p != q}
+        comp = lambda i: 0 if i < n // 2 else i % 11 + 1
+        assert met == {(a, b) for a in range(n) for b in range(a + 1, n) if comp(a) != comp(b)}
+        assert all(len(set(x)) == len(x) for x in blocks.values())
