@@ -54,7 +54,9 @@ TEMPLATES = (
 
 
 def words_column(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    # Not lower(): of other letters, some fall on a-z.
+    text = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
 def token_frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
@@ -67,7 +69,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
     Null and empty texts have no words and no labels (empty strings), null first and last word and score 0;
-    rows with equal or null ids are scanned each for itself; columns besides doc_id and text are not read.
+    rows with equal or null ids are scanned each for itself, repeated ones alike; columns besides doc_id and text
+    are not read, whatever their names. A very long text has as many blocks as it needs. An empty table gives an
+    empty result.
     score is the highest containment of a template that met its threshold, n_blocks how many blocks met one.
     """
     spark = docs.sparkSession
@@ -86,13 +90,15 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     index = spark.createDataFrame(rows, "template int, label string, base boolean, phrase boolean, said array<string>, tokens array<string>, need int, at int, rank int, token string")
     prefix = sorted({r[-1] for r in rows})
 
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), words_column(F.col("text")).alias("_w"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), words_column(F.col("text")).alias("_w"))
     near = F.array_distinct(F.transform("_w", lambda w, i: F.when(w.isin(prefix), F.floor(i / F.lit(stride)).cast("int")).otherwise(F.lit(-1))))
     starts = F.array_distinct(F.flatten(F.transform(F.filter(near, lambda b: b >= 0), lambda b: F.array(b - 1, b))))
     blocks = F.transform(F.filter(starts, lambda b: b >= 0), lambda b: F.struct(b.alias("b"), F.slice("_w", b * F.lit(stride) + F.lit(1), F.lit(2 * stride)).alias("w")))
-    blocks = words.select("doc_id", "_row", F.size("_w").cast("long").alias("n_words"), F.explode_outer(blocks).alias("_block"))
+    # Each row has one block of no words besides, by which the rows that are equal in id and text are counted.
+    blocks = F.concat(F.array(F.struct(F.lit(-1).alias("b"), F.array().cast("array<string>").alias("w"))), blocks)
+    blocks = words.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.explode(blocks).alias("_block"))
     of_block = F.array_distinct(F.filter("_block.w", lambda w: w.isin(vocabulary)))
-    blocks = blocks.select("doc_id", "_row", "n_words", F.col("_block.b").alias("_b"), F.col("_block.w").alias("_w"), of_block.alias("_tokens"))
+    blocks = blocks.select("doc_id", "_th", "n_words", F.col("_block.b").alias("_b"), F.col("_block.w").alias("_w"), of_block.alias("_tokens"))
     blocks = blocks.select("*", F.explode_outer(F.filter("_tokens", lambda w: w.isin(prefix))).alias("token"))
     # A template table of some dozens of rows: its size is that of `templates`, not of the data.
     pairs = blocks.join(F.broadcast(index), "token", "left")
@@ -110,15 +116,18 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     met = F.coalesce(met, F.lit(False))
     base = met & F.col("base")
     place = F.col("_b").cast("long") * stride
+    copies = F.count(F.when(F.col("_b") == -1, 1))
     return (
-        pairs.groupBy("_row", "doc_id", "n_words")
+        pairs.groupBy("_th", "doc_id", "n_words")
         .agg(
-            F.coalesce(F.sum(F.when(base, F.size("_at"))), F.lit(0)).cast("long").alias("n_base"), F.min(F.when(base, place + F.array_min("_at"))).alias("first_word"),
+            (F.coalesce(F.sum(F.when(base, F.size("_at"))), F.lit(0)) / copies).cast("long").alias("n_base"), F.min(F.when(base, place + F.array_min("_at"))).alias("first_word"),
             F.max(F.when(base, place + F.array_max("_at"))).alias("last_word"), F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
             F.array_join(F.array_sort(F.collect_set(F.when(met, F.col("label")))), ",").alias("labels"),
             F.coalesce(F.max(F.when(met, F.col("_shared") / F.size("tokens"))), F.lit(0.0)).alias("score"), F.size(F.collect_set(F.when(met, F.col("_b")))).cast("long").alias("n_blocks"),
+            copies.cast("int").alias("_copies"),
         )
-        .drop("_row")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+        .drop("_th", "_copies", "_copy")
     )
 
 

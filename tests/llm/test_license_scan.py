@@ -63,3 +63,12 @@ def test_repeated_rows_null_ids_and_empty_table(make):
 def test_no_python_on_the_main_path(make):
     plan = license_scan.scan_licenses(make(["mit license"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_only_ascii_letters_are_lowered_and_rows_stay(make):
+    rows = [(1, "apache \u212aicense; MIT LICENSE"), (1, "apache \u212aicense; MIT LICENSE"), (2, "BY\u212a cc by"), (2, "other"), (None, "mit license"), (None, "mit license")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.base_labels) for r in license_scan.scan_licenses(make(rows, "_th _copies")).collect())
+    assert got == sorted([(1, 4, 1, 2, "mit")] * 2 + [(2, 3, 1, 1, "cc-by"), (2, 1, 0, None, ""), *[(0, 2, 1, 0, "mit")] * 2], key=lambda r: (r[0], r[1]))
+    kelvin = license_scan.Template("k", "k one", True, True)
+    got = {r.doc_id: r.n_base for r in license_scan.scan_licenses(make(["\u212a one", "K one"]), (kelvin,)).collect()}
+    assert got == {0: 0, 1: 1}
