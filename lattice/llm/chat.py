@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprinting; DataFrame functions only.
 
-A record's fingerprint is the hash of the nested field paths that it fills (of those that any layout names).
-It selects one of the declared layouts, whose mapping turns prompt, instruction, question or message records
-into canonical turns (role, text). A template marks the turns; control strings inside texts are escaped
+A record's fingerprint is the hash of the nested field paths that it fills, of those that the first layout (in
+the order they are declared in) whose required paths are all filled names. It selects that layout, whose mapping
+turns prompt, instruction, question or message records into canonical turns (role, text). A template marks the turns; control strings inside texts are escaped
 reversibly, so the turns can be read back exactly, and a run-length mask marks the assistant's texts.
 """
 
@@ -64,14 +64,16 @@ def _list(name: str, role: str, text: str, renamed: dict[str, str] | None = None
                 said = F.when(x[role] == old, new).otherwise(said)
             return F.struct(said.alias("role"), F.coalesce(x[text].cast("string"), F.lit("")).alias("text"))
 
-        return F.transform(F.col(f"`{name}`"), one)
+        system = _field(df, "system")
+        said = F.transform(F.col(f"`{name}`"), one)
+        return F.when(system.isNull(), said).otherwise(F.concat(F.array(_turn("system", system)), said))
 
     return turns
 
 
 LAYOUTS = {
-    "messages": Layout(("messages[].content", "messages[].role"), _list("messages", "role", "content")),
-    "conversations": Layout(("conversations[].from", "conversations[].value"), _list("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
+    "messages": Layout(("messages[].content",), _list("messages", "role", "content"), ("messages[].role", "system")),
+    "conversations": Layout(("conversations[].value",), _list("conversations", "from", "value", {"human": "user", "gpt": "assistant"}), ("conversations[].from", "system")),
     "instruction": Layout(("instruction", "output"), _pair("instruction", "output", "input"), ("input", "system")),
     "completion": Layout(("prompt", "completion"), _pair("prompt", "completion"), ("system",)),
     "response": Layout(("prompt", "response"), _pair("prompt", "response"), ("system",)),
@@ -83,8 +85,8 @@ def _any_filled(items: Column, field: str) -> Column:
     return F.coalesce(F.exists(items, lambda x: x[field].isNotNull()), F.lit(False))
 
 
-def filled_paths(df: DataFrame, known: set[str]) -> Column:
-    """The sorted, comma-joined nested field paths, of those known, that a record fills."""
+def filled_paths(df: DataFrame, known: set[str]) -> dict[str, Column]:
+    """Of the nested field paths known: whether a record fills each, in order."""
     found: list[tuple[str, Column]] = []
 
     def walk(kind: T.DataType, path: str, at: Column, filled: Callable[[Column], Column]) -> None:
@@ -106,16 +108,32 @@ def filled_paths(df: DataFrame, known: set[str]) -> Column:
                 found.append((path, column.isNotNull()))
         else:
             walk(f.dataType, f.name, column, lambda c: c)
-    marks = [F.when(c, F.lit(p)) for p, c in sorted(found, key=lambda x: x[0])]
-    return F.concat_ws(",", *marks) if marks else F.lit("")
+    return dict(sorted(found, key=lambda x: x[0]))
+
+
+def fingerprint(df: DataFrame, layouts: dict[str, Layout], present: set[str]) -> Column:
+    """The hash of the sorted, comma-joined paths that a record fills: those of the first layout it has all of; else of any."""
+    filled = filled_paths(df, present)
+    listed = lambda paths: F.concat_ws(",", *[F.when(c, F.lit(p)) for p, c in filled.items() if p in paths]) if filled else F.lit("")
+    paths = listed(set(filled))
+    for layout in reversed(layouts.values()):
+        if set(layout.required) <= set(filled):
+            whole = F.lit(True)
+            for p in layout.required:
+                whole = whole & filled[p]
+            paths = F.when(whole, listed({*layout.required, *layout.optional})).otherwise(paths)
+    return F.xxhash64(paths)
 
 
 def canonical_turns(df: DataFrame, layouts: dict[str, Layout] | None = None) -> DataFrame:
-    """df with layout (name, null if none fits), schema_fingerprint and turns (array of role and text; else null)."""
+    """df with layout (name, null if none fits), schema_fingerprint and turns (array of role and text; else null).
+
+    A record that fills several layouts takes the first; what it fills besides is not read.
+    """
     layouts = layouts or LAYOUTS
     known = {p for x in layouts.values() for p in (*x.required, *x.optional)}
     present = {p for p in known if p.split("[]")[0].split(".")[0] in df.columns}
-    df = df.withColumn("schema_fingerprint", F.xxhash64(filled_paths(df, present)))
+    df = df.withColumn("schema_fingerprint", fingerprint(df, layouts, present))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for key, layout in layouts.items():
         if not set(layout.required) <= present:
@@ -169,9 +187,12 @@ def read_back(df: DataFrame) -> DataFrame:
 def format_chats(records: DataFrame, layouts: dict[str, Layout] | None = None) -> DataFrame:
     """records with layout, schema_fingerprint, turns, formatted and loss_mask.
 
-    A record that fits no layout, an empty one among them, has null layout, turns, formatted and loss_mask;
-    null texts or roles inside a list are empty; an empty list gives no turns and fits no layout; other
-    columns are kept and not read; an empty table gives an empty result.
+    A record that fits several layouts takes the first of them, in order; one that fits none, as it lacks a question
+    or an answer or is empty, has null layout, turns, formatted and loss_mask. A filled `system` comes first, in
+    every layout. Null texts or roles inside a list are empty; an empty list gives no turns and fits no layout. Rows
+    are formatted each for itself: repeated ones alike, and no order matters. A very long record is one row like any
+    other. Other columns are kept and not read; columns with the names of added ones are replaced. An empty table
+    gives an empty result.
     """
     return format_turns(canonical_turns(records, layouts))
 

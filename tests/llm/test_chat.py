@@ -69,3 +69,27 @@ def test_query_against_sql(spark, tmp_path):
     got = chat.op8_chat_formatting(spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
     assert [r.layout for r in got if r.conv_id == -1] == ["completion"]
+
+
+def test_records_that_fit_several_layouts(spark):
+    turns = "array<struct<role:string,content:string>>"
+    rows = [
+        (1, [("user", "q"), ("assistant", "a")], "be kind", None, None, None),
+        (2, [("user", "q"), ("assistant", "a")], None, "a prompt", None, None),
+        (3, [("user", "q")], "sys", "p", "c", "r"),
+        (4, None, "sys", "p", "c", "r"),
+        (5, None, None, "p", None, "r"),
+        (6, [(None, "said by none")], None, None, None, None),
+        (7, [], None, "p", "c", None),
+        (8, None, "alone", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, messages {turns}, system string, prompt string, completion string, response string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    said = {i: [(t.role, t.text) for t in r.turns] if r.turns is not None else None for i, r in got.items()}
+    assert said == {
+        1: [("system", "be kind"), ("user", "q"), ("assistant", "a")], 2: [("user", "q"), ("assistant", "a")], 3: [("system", "sys"), ("user", "q")],
+        4: [("system", "sys"), ("user", "p"), ("assistant", "c")], 5: [("user", "p"), ("assistant", "r")], 6: [("", "said by none")], 7: [("user", "p"), ("assistant", "c")], 8: None,
+    }
+    assert [got[i].layout for i in range(1, 9)] == ["messages"] * 3 + ["completion", "response", "messages", "completion", None]
+    for i, r in got.items():
+        assert r.turns is None or [(t.role, t.text) for t in r.read_turns] == said[i]
