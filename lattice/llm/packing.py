@@ -31,7 +31,7 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-3)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     choose: str = "norm"
 
     def vector(self) -> np.ndarray:
@@ -105,9 +105,10 @@ def tokenize_pieces(docs: DataFrame, model: str, most: int, end_id: int = 0) ->
 def pack(docs: DataFrame, model_path: str | None = None, capacity: Capacity | None = None, end_id: int = 0, group: int = GROUP) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone. Rows with equal or null ids are packed each for itself. Only a
-    document longer than a sequence is cut; its first piece may be shorter. Full pieces fill a sequence each.
-    An empty table gives an empty result.
+    A null or empty text is the end id alone. Rows with equal or null ids are packed each for itself, repeated ones
+    too. Only a document longer than a sequence, however long, is cut; its first piece may be shorter. Full pieces
+    fill a sequence each. Of equally long pieces the one of smaller check sum (then id and start) goes first. Other
+    columns are not read, whatever their names. An empty table gives an empty result.
     """
     capacity = capacity or Capacity()
     model = tokens.read_model(model_path or tokens.default_path())
