@@ -94,18 +94,33 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
     return map_arrow(df, function, schema)
 
 
-class WordHashes(dict):
-    """Stable 64-bit hashes of words (bytes), kept in a cache that is emptied once it holds LIMIT words."""
+class Cache(dict):
+    """Values of words or pre-tokens, worked out by value(key). Keys of more than LONG are not kept; at LIMIT entries it starts anew.
 
-    LIMIT = 500_000
+    So it holds at most LIMIT * (LONG + about 150) bytes, whatever the texts.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    LIMIT, LONG = 300_000, 64
+
+    def value(self, key):
+        raise NotImplementedError
 
-        value = self[word] = xxhash.xxh64_intdigest(word)
+    def __missing__(self, key):
+        value = self.value(key)
+        if len(key) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[key] = value
         return value
 
+
+class WordHashes(Cache):
+    """Stable 64-bit hashes of words (bytes)."""
+
+    def value(self, key: bytes) -> int:
+        import xxhash
+
+        return xxhash.xxh64_intdigest(key)
+
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.LIMIT:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

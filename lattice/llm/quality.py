@@ -155,27 +155,23 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], ["_id", "grade", "f"])
 
     # Rows that repeat an id bring no more than `sample` texts of the fit.
-    got = sorted(common.map_rows(rows, run, "_id long, grade int, f array<int>").limit(2 * sample).collect(), key=lambda r: (r._id, r.grade, len(r.f), r.f))[:sample]
+    found = common.map_rows(rows, run, "_id long, grade int, f array<int>").orderBy("_id", "grade", F.size("f"), F.xxhash64("f")).limit(sample)
+    got = sorted(found.collect(), key=lambda r: (r._id, r.grade, len(r.f), r.f))
     got = [r for r in got if r.f]
     return [np.asarray(r.f) for r in got], np.asarray([r.grade for r in got], np.int64)
 
 
-class _Weights(dict):
-    """The weight of each word, or of each stem, kept for up to LIMIT of them."""
-
-    LIMIT = 400_000
+class _Weights(common.Cache):
+    """The weight of each word, or of each stem."""
 
     def __init__(self, kind: bytes, weights: dict[int, float]):
         super().__init__()
         self.kind, self.weights = kind, weights
 
-    def __missing__(self, word: bytes) -> float:
-        value = self[word] = self.weights.get(_bucket(self.kind, word), 0.0)
-        return value
+    def value(self, key: bytes) -> float:
+        return self.weights.get(_bucket(self.kind, key), 0.0)
 
     def total(self, words: set[bytes]) -> float:
-        if len(self) > self.LIMIT:
-            self.clear()
         return sum(map(self.__getitem__, words))
 
 
@@ -183,8 +179,9 @@ def classify(docs: DataFrame, model: Ordinal, accept: float = ACCEPT) -> DataFra
     """docs with expected_grade, tail_probability (double) and accepted (boolean) added, in this order.
 
     Null, empty and blank texts and texts without a word have expected grade 0, tail 0 and are not accepted.
-    Every row is scored by its text alone, so repeated rows score alike; columns of docs with these names are
-    replaced; an empty table gives an empty result.
+    Every row is scored by its text alone, the whole of it however long, so repeated rows score alike and no order
+    matters; null ids are scored like others; columns of docs with these names are replaced; an empty table gives an
+    empty result.
     """
     names = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "accepted")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])

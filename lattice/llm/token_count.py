@@ -20,19 +20,21 @@ from . import common, tokens
 #: Entries of the broadcast table, and the most frequent pre-tokens that one task reports.
 TABLE, PER_TASK = 30_000, 3_000
 #: Distinct pre-tokens that a task counts at once; beyond it the rare half is forgotten (this only costs speed).
-DISTINCT = 500_000
+DISTINCT = 300_000
 LIMIT = 1024
 
 
-def frequent_pre_tokens(docs: DataFrame, top: int = TABLE, per_task: int = PER_TASK) -> list[str]:
+def frequent_pre_tokens(docs: DataFrame, model: str, top: int = TABLE, per_task: int = PER_TASK) -> list[str]:
     """The most frequent pre-tokens over all texts, most frequent first; a bounded list."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.worker_encoder(sent.value, True)
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in common.texts(batch):
-                if parts := tokens.pre_tokens(text):
-                    seen.update(parts)
+                if parts := encoder.pre_tokens(text):
+                    seen.update(x for x in parts if len(x) <= common.Cache.LONG)
                     if len(seen) > DISTINCT:
                         seen = Counter(dict(seen.most_common(DISTINCT // 2)))
         best = seen.most_common(per_task)
@@ -46,12 +48,13 @@ def frequent_pre_tokens(docs: DataFrame, top: int = TABLE, per_task: int = PER_T
 def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text; other columns are not read).
 
-    Null and empty texts have 0 bytes and 0 tokens; rows with equal or null ids are counted each for itself;
-    an empty table gives an empty result. Special strings inside a text are handled as the library does.
+    Null and empty texts have 0 bytes and 0 tokens; rows with equal or null ids are counted each for itself,
+    repeated ones alike, and no order matters; a very long text is counted whole; an empty table gives an empty
+    result. Special strings inside a text are handled as the library does.
     """
     model = tokens.read_model(model_path or tokens.default_path())
     spark = docs.sparkSession
-    frequent = frequent_pre_tokens(docs)
+    frequent = frequent_pre_tokens(docs, model)
     local = tokens.Encoder(model, lengths=True)
     packed = tokens.pack_table((t, local[t]) for t in frequent)
     sent = spark.sparkContext.broadcast((model, packed))

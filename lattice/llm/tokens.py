@@ -1,4 +1,8 @@
-"""Byte-level BPE through pre-token caches: the tokenizers library encodes each distinct pre-token once per worker."""
+"""Byte-level BPE through pre-token caches: the tokenizers library encodes each distinct pre-token once per worker.
+
+Texts of the Latin blocks are split by an expression that is proved equal to the library's; all others by the
+library's own pre-tokenizer. Both give the same kind of pre-token, so table and cache serve every script.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from . import common
+
 #: Letters of ASCII and of the Latin blocks up to U+024F, in which re's classes and the tokenizer's agree.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 #: The byte-level split for texts without characters outside these blocks; the alternatives' order does not
@@ -18,11 +24,6 @@ _SPLIT = re.compile(rf" ?[{_L}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_L}0-9]+|
 _OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7e¡-©«-±´¶-¸»¿×÷{_L}‐-‧‰-⁞€]")
 
 
-def pre_tokens(text: str) -> list[str] | None:
-    """The pre-tokens of a text, or None where only the library itself is known to split it rightly."""
-    return None if _OTHER.search(text) else _SPLIT.findall(text)
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable character that byte-level BPE writes for each byte."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -30,51 +31,50 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Encoder(dict):
-    """Pre-token -> little-endian ids as bytes, or -> number of ids. Holds `given` always, and up to `limit` others.
+class Encoder(common.Cache):
+    """Pre-token -> little-endian ids as bytes, or -> number of ids. `given` are looked up first and always kept.
 
-    The library's own model encodes a missing pre-token; texts that can't be split here go to the library whole.
+    The library's own model encodes a missing pre-token; texts with special strings go to the library whole, and so
+    do all where the tokenizer is no byte-level BPE.
     """
 
-    def __init__(self, model: str, lengths: bool, given: dict[str, object] | None = None, limit: int = 400_000):
+    def __init__(self, model: str, lengths: bool, given: dict[str, object] | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__(given or {})
-        self.tokenizer, self.lengths, self.given, self.limit = Tokenizer.from_str(model), lengths, given or {}, limit
+        super().__init__()
+        self.tokenizer, self.lengths, self.given = Tokenizer.from_str(model), lengths, given or {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         about = json.loads(model)
         before = about.get("pre_tokenizer") or {}
         self.splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not about.get("normalizer") and about["model"].get("type", "BPE") == "BPE"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.bytes = {ord(c): b for b, c in self.letters.items()}
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, token: str):
-        found = self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))
-        value = self[token] = len(found) if self.lengths else b"".join([t.id.to_bytes(4, "little") for t in found])
-        return value
+    def value(self, key: str):
+        if (known := self.given.get(key)) is not None:
+            return known
+        found = self.model.tokenize(key.encode().decode("latin-1").translate(self.letters))
+        return len(found) if self.lengths else b"".join([t.id.to_bytes(4, "little") for t in found])
 
-    def _parts(self, text: str) -> list[str] | None:
+    def pre_tokens(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text, as the library splits it, or None where it has to encode the text whole."""
         if not self.splits or any(s in text for s in self.special):
             return None
-        return pre_tokens(text)
-
-    def _make_room(self) -> None:
-        if len(self) > self.limit + len(self.given):
-            self.clear()
-            self.update(self.given)
+        if not _OTHER.search(text):
+            return _SPLIT.findall(text)
+        return [t.translate(self.bytes).encode("latin-1").decode() for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, text: str) -> int:
-        if (parts := self._parts(text)) is None:
+        if (parts := self.pre_tokens(text)) is None:
             return len(self._encode(text))
-        self._make_room()
         return sum(map(self.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
-        if (parts := self._parts(text)) is None:
+        if (parts := self.pre_tokens(text)) is None:
             return np.asarray(self._encode(text), "<u4").tobytes()
-        self._make_room()
         return b"".join(map(self.__getitem__, parts))
 
 

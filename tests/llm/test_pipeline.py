@@ -24,7 +24,7 @@ def corpus(spark, make, prose, tmp_path_factory):
     rows += [(200, clean), (201, clean.replace(" ", " extra ", 1)), (202, prose(40, 1) + "\n" + passage), (203, prose(50, 2) + "\n" + passage)]
     rows += [(204, prose(50, 3) + " " + item + " " + prose(20, 4)), (205, None), (206, ""), (207, prose(9000, 8))]
     path = tmp_path_factory.mktemp("corpus")
-    make(rows, "runs kept").write.parquet(f"{path}/documents.parquet")
+    make(rows, "runs kept accepted n_removed n_lines tail_probability _gone _id").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path), dict(rows), passage
@@ -40,6 +40,7 @@ def test_each_stage_decides_on_what_it_is_given(spark, corpus, tmp_path):
         docs = spark.read.parquet(out)
         if k < 4:
             assert docs.columns == columns
+            assert docs.select(*columns[5:]).distinct().collect() == [("x",) * len(columns[5:])]
             kept.append({r.doc_id: r.text for r in docs.collect()})
     quality, lines, near, clean = kept
     good = {i for i in rows if i < 120 and i % 4 > 1} | {200, 201, 202, 203, 204, 207}

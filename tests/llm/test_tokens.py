@@ -16,6 +16,7 @@ def library():
 
 def test_split_agrees_with_the_library_for_every_character(library):
     pre = library.pre_tokenizer
+    encoder = tokens.Encoder(tokens.read_model(tokens.default_path()), True)
     checked = 0
     for code in range(0x2FFF):
         c = chr(code)
@@ -24,7 +25,7 @@ def test_split_agrees_with_the_library_for_every_character(library):
         checked += 1
         text = f"a{c}b {c}1{c} {c}{c}  {c}'s\n{c} .{c}"
         spans = [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
-        assert tokens.pre_tokens(text) == spans, hex(code)
+        assert encoder.pre_tokens(text) == spans, hex(code)
     assert checked > 600
 
 
@@ -45,11 +46,35 @@ def test_counts_of_empty_table_and_null_ids(spark, make):
     assert sorted(r.n_tokens for r in token_count.count_tokens(make([(None, "a b"), (None, "a b"), (3, None)])).collect()) == [0, 2, 2]
 
 
-def test_cache_keeps_the_given_table_when_it_is_emptied(library):
-    encoder = tokens.Encoder(tokens.read_model(tokens.default_path()), True, {"the": 1}, limit=3)
-    for text in ("ab cd ef gh", "zz yy", "ab the zz"):
+def test_cache_is_bounded_and_keeps_the_given_table(library, monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "LIMIT", 3)
+    encoder = tokens.Encoder(tokens.read_model(tokens.default_path()), True, {"the": 1})
+    for text in ("ab cd ef gh", "zz yy", "ab the zz", "a" * 1000 + " ab"):
         assert encoder.count(text) == len(library.encode(text).ids)
-    assert encoder["the"] == 1 and len(encoder) < 8
+        assert len(encoder) <= 3 and max(map(len, encoder)) <= encoder.LONG
+    assert encoder["the"] == 1
+
+
+#: A passage of several scripts, symbols, combining marks and unassigned characters.
+SCRIPTS = ["Ελληνικά γράμματα, και αριθμοί 12½", "Русский текст с числами 2024!", "漢字とかな交じり文。一二三", "한국어 문장입니다", "مرحبا بالعالم ١٢٣", "हिन्दी में लिखा", "😀 emoji 👍🏽 and ﬁ ﬂ ǅ", "a\u0301 e\u0308 \u2003 x\u00a0y \u3000z", "mixed English и русский we'll", "\U0010ffff\ue000 \ud7ff"]
+
+
+def test_every_script_takes_both_tiers(spark, make, library):
+    encoder = tokens.Encoder(tokens.read_model(tokens.default_path()), True)
+    whole = []
+    encoder._encode = lambda text: whole.append(text) or library.encode(text, add_special_tokens=False).ids
+    rng = random.Random(3)
+    texts = SCRIPTS + [" ".join(rng.choices(" ".join(SCRIPTS).split(" "), k=30)) for _ in range(40)]
+    for t in texts:
+        assert "".join(encoder.pre_tokens(t)) == t
+        assert encoder.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+    assert not whole
+    found = token_count.frequent_pre_tokens(make(texts), tokens.read_model(tokens.default_path()))
+    assert " γράμματα" in found and " числами" in found
+    ids = tokens.Encoder(tokens.read_model(tokens.default_path()), False)
+    assert all(np.frombuffer(ids.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
+    counts = {r.doc_id: r.n_tokens for r in token_count.count_tokens(make(texts)).collect()}
+    assert counts == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("choose", ["norm", "dot"])
