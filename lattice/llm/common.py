@@ -13,8 +13,8 @@ from ..session import map_arrow, materialise
 
 __all__ = ["map_rows", "materialise"]
 
-#: Rows of an Arrow batch sent to Python; with long texts a larger batch would not fit a worker.
-ARROW_ROWS = 1024
+#: Rows and bytes of an Arrow batch sent to Python; with long texts a larger batch would not fit a worker.
+ARROW_ROWS, ARROW_BYTES = 1024, 32 << 20
 
 #: Bytes to lower-case ASCII letters and digits; every other ASCII byte becomes a blank, others stay.
 WORD_TABLE = bytes(
@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for this session, as texts may be long."""
+    """Bound the rows and bytes of an Arrow batch, as texts may be long; Spark has these settings for a whole session only."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
