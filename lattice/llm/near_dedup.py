@@ -36,7 +36,7 @@ AGREE = 15
 #: Symbols from which on a pair is all but sure to be linked (a pair at the threshold has so many with a probability of 0.1).
 SURE = 34
 #: Documents of a block of a key, and documents and shingles of a block of a cluster.
-KEY_BLOCK, BLOCK_DOCS, BLOCK_SHINGLES = 256, 256, 200_000
+KEY_BLOCK, BLOCK_DOCS, BLOCK_SHINGLES = 512, 512, 200_000
 #: Rows of (id, cluster) that are broadcast instead of dealing all texts by id (about 32 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -235,23 +235,27 @@ def dealt(members: DataFrame, group: str, block: int, weight: Column | None = No
     """members (group, id, comp, more) in blocks (kind, bi, bj) in which any two of a group that differ in comp meet.
 
     A group of up to `block` rows (and `heavy` weight) is one block. Of a larger one, the rows of the largest
-    component are dealt to blocks of kind 0, each with one block of the others'; the others' blocks meet each
-    other in kind 1. So rows grow with the group times the others' blocks, not with its square.
+    component, if that alone is more than a block, are dealt to blocks of kind 0, each with one block of the
+    others'; the others' blocks meet each other in kind 1. So rows grow with the group times the others' blocks,
+    not with its square.
     """
     weight = weight if weight is not None else F.lit(0)
     size = members.groupBy(group, "comp").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
     size = size.groupBy(group).agg(F.max(F.struct("n", "w", "comp")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(block)), F.ceil(w / F.lit(heavy)) if heavy else F.lit(0), F.lit(1)).cast("int")
     small = (F.col("n") <= block) & (F.col("w") <= heavy) if heavy else F.col("n") <= block
-    size = size.select(group, small.alias("_small"), F.col("most.comp").alias("_most"), blocks(F.col("most.n"), F.col("most.w")).alias("_nm"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("_no"))
+    # A largest component of a block or less is dealt like the others: it would add a block to each of theirs.
+    large = (F.col("most.n") > block) | ((F.col("most.w") > heavy) if heavy else F.lit(False))
+    rest = lambda c: F.col(c) - F.when(large, F.col(f"most.{c}")).otherwise(0)
+    size = size.select(group, small.alias("_small"), F.when(large, F.col("most.comp")).alias("_most"), F.when(large, blocks(F.col("most.n"), F.col("most.w"))).otherwise(0).alias("_nm"), blocks(rest("n"), rest("w")).alias("_no"))
     rows = members.join(size, group)
     place = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("bi"), b.cast("int").alias("bj"))
-    each = lambda n: F.sequence(F.lit(0), n - F.lit(1))
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - F.lit(1))).otherwise(F.array().cast("array<int>"))
     one = F.array(place(1, F.lit(0), F.lit(0)))
     main = F.transform(each(F.col("_no")), lambda k: place(0, _own(F.col("_nm"), "id"), k))
     own = _own(F.col("_no"), "id")
     other = F.concat(F.transform(each(F.col("_nm")), lambda k: place(0, k, own)), F.transform(each(F.col("_no")), lambda k: place(1, F.least(own, k), F.greatest(own, k))))
-    where = F.when(F.col("_small"), one).when(F.col("comp") == F.col("_most"), main).otherwise(other)
+    where = F.when(F.col("_small"), one).when(F.col("comp").eqNullSafe(F.col("_most")), main).otherwise(other)
     return rows.select(*members.columns, F.explode(where).alias("_b")).select(*members.columns, "_b.kind", "_b.bi", "_b.bj")
 
 
