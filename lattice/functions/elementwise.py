@@ -28,13 +28,18 @@ def round_(x: Column, precision: int = 0) -> Column:
     return F.round(x, precision)
 
 
+def whole(function: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """floor or ceil of any double: those from 2**53 on, infinities and NaN are as they are."""
+    return lambda x: F.when(F.abs(x) < float(2**53), function(x).cast("double")).otherwise(x)
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
 
 
 #: Functions of one element.
 UNARY: dict[str, Callable[[Column], Column]] = {
-    "round": round_, "floor": lambda x: F.floor(x).cast("double"), "ceil": lambda x: F.ceil(x).cast("double"), "abs": F.abs, "square": lambda x: x * x,
+    "round": round_, "floor": whole(F.floor), "ceil": whole(F.ceil), "abs": F.abs, "square": lambda x: x * x,
     "sqrt": F.sqrt, "exp": F.exp, "expm1": F.expm1, "log": log, "log1p": log1p, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan,
     "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "negate": lambda x: -x, "reciprocal": lambda x: F.lit(1.0) / x, "sign": F.signum,
     "deg2rad": F.radians, "rad2deg": F.degrees, "as_int": lambda x: x.cast("bigint").cast("double"),

@@ -135,16 +135,23 @@ def matrix_product(spark, sf_dir):
     return entries(embeddings(spark, sf_dir).map(lambda x: F.lit(1.0) + x / 100).rows(vectors.product))
 
 
+def _values(spark, digits: int | dict[str, int], **values: float):
+    """One row of the operators' own results, rounded."""
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'double'}" for k, v in values.items()))
+    places = lambda k: digits if isinstance(digits, int) else digits.get(k, 6)
+    return row.select(*[F.col(k) if isinstance(v, int) else F.round(k, places(k)).alias(k) for k, v in values.items()])
+
+
 @BOOK.add("matrix_median", f"SELECT round(median(x), 6) AS median, round(quantile_cont(x, 0.9), 6) AS q90, round(avg((x - 1) * (x - 1)), 6) AS about_one FROM {CELLS}")
 def matrix_median(spark, sf_dir):
-    c = embeddings(spark, sf_dir).cells()
-    return c.agg(F.round(F.median("x"), 6).alias("median"), F.round(F.percentile("x", 0.9), 6).alias("q90"), F.round(F.avg((F.col("x") - 1) * (F.col("x") - 1)), 6).alias("about_one"))
+    m = embeddings(spark, sf_dir)
+    return _values(spark, 6, median=m.median(), q90=m.quantile(0.9), about_one=m.variance(1.0))
 
 
 @BOOK.add("matrix_trace", f"SELECT round(sum(x * x), 4) AS trace FROM {CELLS}")
 def matrix_trace(spark, sf_dir):
     """Of the Gram matrix, whose trace is the sum of all squares."""
-    return embeddings(spark, sf_dir).gram().diagonal().df.agg(F.round(F.sum("x"), 4).alias("trace"))
+    return _values(spark, 4, trace=embeddings(spark, sf_dir).gram().trace())
 
 
 @BOOK.add("matrix_reduce", f"SELECT round(sum(x * power(0.5::DOUBLE, 63 - j)), 6) AS y, i FROM {CELLS} GROUP BY i")
@@ -174,12 +181,10 @@ _COL0 = "(SELECT i, x FROM " + CELLS + " WHERE j = 0)"
 
 @BOOK.add("vector_reductions", f"SELECT round(sum(x), 5) AS sum, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(var_pop(x), 6) AS variance, round(sqrt(sum(x * x)), 5) AS norm2, round(sum(abs(x)), 5) AS norm1, round(max(abs(x)), 6) AS norm_inf, round(power(sum(power(abs(x), 3)), 1 / 3::DOUBLE), 5) AS norm3, CAST(arg_min(i, x) AS BIGINT) AS argmin, CAST(arg_max(i, x) AS BIGINT) AS argmax, round(quantile_cont(x, 0.1), 6) AS q10 FROM {_COL0}")
 def vector_reductions(spark, sf_dir):
-    x = F.col("x")
-    col = embeddings(spark, sf_dir).column(0)
-    power = F.pow(F.sum(F.pow(F.abs(x), F.lit(3.0))), F.lit(1 / 3))
-    return col.df.agg(
-        F.round(F.sum(x), 5).alias("sum"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.var_pop(x), 6).alias("variance"), F.round(F.sqrt(F.sum(x * x)), 5).alias("norm2"),
-        F.round(F.sum(F.abs(x)), 5).alias("norm1"), F.round(F.max(F.abs(x)), 6).alias("norm_inf"), F.round(power, 5).alias("norm3"), F.min(F.struct("x", "i"))["i"].alias("argmin"), (-F.max(F.struct("x", -F.col("i")))["col2"]).alias("argmax"), F.round(F.percentile(x, 0.1), 6).alias("q10"),
+    v = embeddings(spark, sf_dir).column(0)
+    digits = {"sum": 5, "norm2": 5, "norm1": 5, "norm3": 5}
+    return _values(
+        spark, digits, sum=v.sum(), mean=v.mean(), median=v.median(), variance=v.variance(), norm2=v.norm(), norm1=v.norm(1), norm_inf=v.norm(INF), norm3=v.norm(3), argmin=v.argmin(), argmax=v.argmax(), q10=v.quantile(0.1)
     )
 
 
@@ -310,8 +315,7 @@ def matvec(spark, sf_dir):
 @BOOK.add("dot", f"WITH e AS {CELLS} SELECT round(sum(a.x * b.x), 5) AS y FROM e a JOIN e b ON a.i = b.i WHERE a.j = 0 AND b.j = 1")
 def dot(spark, sf_dir):
     m = embeddings(spark, sf_dir)
-    a, b = m.column(0), m.column(1)
-    return a.df.join(b.df.select("i", F.col("x").alias("z")), "i").agg(F.round(F.sum(F.col("x") * F.col("z")), 5).alias("y"))
+    return _values(spark, 5, y=m.column(0).dot(m.column(1)))
 
 
 @BOOK.add("outer", f"WITH e AS {CELLS}, c AS (SELECT j, avg(x) AS m, max(x) AS h FROM e GROUP BY j) SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(a.m * b.h, 6) + 0.0 AS y FROM c a, c b")

@@ -23,17 +23,23 @@ def rows(matrix):
     return matrix.local().tolist()
 
 
+OWN = np.random.default_rng(17).normal(0, 5, (4, 3)).round(2)
+
+
 def test_shape_and_scalars(m):
-    a = m([[1, 2], [3, 4]])
-    assert a.shape() == (2, 2) and a.shape_string() == "2 x 2" and a.size() == 4 and a.ndim() == 2 and a.is_square()
-    assert a.binary("add", 1).sum() == 14 and a.binary("subtract", 1).sum() == 6 and a.binary("multiply", 2).sum() == 20
-    assert rows(a.binary("divide", 2)) == [[0.5, 1], [1.5, 2]]
+    a = m(OWN.tolist())
+    assert a.shape() == OWN.shape and a.shape_string() == "4 x 3" and a.size() == OWN.size and a.ndim() == 2 and not a.is_square()
+    for name, own in (("add", np.add), ("subtract", np.subtract), ("multiply", np.multiply), ("divide", np.divide)):
+        assert np.allclose(a.binary(name, 7).local(), own(OWN, 7))
+        assert a.binary(name, 7).sum() == pytest.approx(own(OWN, 7).sum())
 
 
 def test_factories(spark, m):
-    assert Matrix.zeros(spark, 3, 2).sum() == 0 and Matrix.ones(spark, 2, 3).sum() == 6 and Matrix.fill(spark, 5, 2, 2).sum() == 20
-    assert rows(m([[1, 2], [3, 4]]).binary("add", Matrix.eye(spark, 2))) == [[2, 2], [3, 5]]
-    assert Matrix.eye(spark, 3).trace() == 3 and linalg.det(Matrix.eye(spark, 3).local()) == 1 and Matrix.from_diagonal(spark, [1, 2, 3]).trace() == 6
+    for made, own in ((Matrix.zeros(spark, 5, 4), np.zeros((5, 4))), (Matrix.ones(spark, 4, 7), np.ones((4, 7))), (Matrix.fill(spark, -2.5, 3, 6), np.full((3, 6), -2.5)), (Matrix.eye(spark, 4), np.eye(4)), (Matrix.from_diagonal(spark, [9, -4, 0.5]), np.diag([9, -4, 0.5]))):
+        assert made.shape() == own.shape and np.array_equal(made.local(), own)
+    square = OWN[:3]
+    assert np.allclose(m(square.tolist()).binary("add", Matrix.eye(spark, 3)).local(), square + np.eye(3))
+    assert Matrix.eye(spark, 6).trace() == 6 and linalg.det(Matrix.eye(spark, 5).local()) == pytest.approx(1)
     for made in (Matrix.uniform(spark, 4, 3, 2, 5, 1), Matrix.rand(spark, 4, 3, 1)):
         assert made.shape() == (4, 3) and len(np.unique(made.local())) == 12
     assert Matrix.poisson(spark, 200, 5, 3.0, 1).mean() == pytest.approx(3, abs=0.4) and Matrix.gaussian(spark, 400, 5, 2).variance() == pytest.approx(1, abs=0.2)
@@ -43,10 +49,18 @@ def test_factories(spark, m):
 
 
 def test_element_functions(m):
-    assert rows(m([[1, 4], [9, 16]]).apply("sqrt")) == [[1, 2], [3, 4]] and rows(m([[1, 2], [3, 4]]).apply("square")) == [[1, 4], [9, 16]]
-    assert rows(m([[1, -2]]).apply("negate")) == [[-1, 2]] and m([[-1, 2], [-3, 4]]).apply("abs").sum() == 10
-    assert rows(m([[0, 5], [10, 15]]).clip(2, 8)) == [[2, 5], [8, 8]]
-    assert rows(m([[2.5, -2.5, -1.7]]).apply("round")) == [[3, -3, -2]] and rows(m([[-1.7, 1.7]]).apply("as_int")) == [[-1, 1]]
+    a = m(OWN.tolist())
+    for name, own in (("square", np.square), ("negate", np.negative), ("abs", np.abs), ("floor", np.floor), ("ceil", np.ceil), ("as_int", np.trunc), ("sign", np.sign)):
+        assert np.allclose(a.apply(name).local(), own(OWN)), name
+    assert np.allclose(m(np.abs(OWN).tolist()).apply("sqrt").local(), np.sqrt(np.abs(OWN))) and np.allclose(a.clip(-3, 4).local(), OWN.clip(-3, 4))
+    assert rows(m([[6.5, -6.5, -0.2]]).apply("round")) == [[7, -7, 0]]
+
+
+def test_floor_and_ceil_of_every_double(m):
+    odd = [1e300, -1e300, float("inf"), float("-inf"), 2.0**53, -(2.0**53) - 2, 0.5, -0.5, 2.0**52 + 0.5]
+    for name, own in (("floor", np.floor), ("ceil", np.ceil)):
+        assert rows(m([odd]).apply(name)) == [own(odd).tolist()]
+        assert np.isnan(rows(m([[float("nan")]]).apply(name))[0][0])
 
 
 def test_ieee_results(m):
