@@ -96,41 +96,53 @@ def polynomial_interactions(spark, sf_dir):
 WIDTH = 64
 
 
-def _features(spark, sf_dir, n: int = 4):
+NAMES = [f"x{i}" for i in range(WIDTH)]
+
+
+def _features(spark, sf_dir, n: int = WIDTH):
     e = table(spark, sf_dir, "embeddings")
     d = F.col("embedding").cast("array<double>")
     return e.select(F.col("vec_id").alias("row_idx"), *[F.get(d, F.lit(i)).alias(f"x{i}") for i in range(n)], F.col("label").cast("string").alias("label"))
 
 
-_PCA = f"""WITH e AS (SELECT i, max(x) FILTER (WHERE j = 0) AS x, max(x) FILTER (WHERE j = 1) AS y FROM {CELLS} GROUP BY i), g AS (SELECT var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS d FROM e)
-SELECT round((a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b), 5) AS v0, round((a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b), 5) AS v1 FROM g"""
+_PCA = f"""WITH e AS {CELLS}, m AS (SELECT i, j, x - avg(x) OVER (PARTITION BY j) AS x FROM e), c AS (SELECT a.j AS j, b.j AS k, sum(a.x * b.x) / (SELECT count(*) FROM embeddings) AS x FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j)
+SELECT round(sum(x) FILTER (WHERE j = k), 5) AS total, round(sum(x * x), 5) AS squares, 0.0::DOUBLE AS covariance FROM c"""
 
 
 @BOOK.add("pca", _PCA)
 def pca(spark, sf_dir):
-    """The components' variances, which must be the covariance's eigenvalues."""
-    df = _features(spark, sf_dir, 2)
-    out = stages.Pca(2).fit(df).transform(df)
-    return out.agg(F.round(F.var_pop("pc0"), 5).alias("v0"), F.round(F.var_pop("pc1"), 5).alias("v1"))
+    """All components: their variances are the covariance's eigenvalues, so their sum and sum of squares are its; the first two don't vary together."""
+    df = _features(spark, sf_dir)
+    out = stages.Pca(WIDTH).fit(df).transform(df)
+    row = out.agg(*[F.var_pop(f"pc{k}").alias(f"v{k}") for k in range(WIDTH)], F.covar_pop("pc0", "pc1").alias("c"))
+    v = F.array(*[f"v{k}" for k in range(WIDTH)])
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    return row.select(F.round(add(v), 5).alias("total"), F.round(add(F.transform(v, lambda y: y * y)), 5).alias("squares"), tidy("c").alias("covariance"))
 
 
 @BOOK.add("linear_discriminants")
 def linear_discriminants(spark, sf_dir):
-    df = _features(spark, sf_dir, WIDTH)
+    df = _features(spark, sf_dir)
     return stages.LinearDiscriminants(2).fit(df).transform(df)
 
 
 @BOOK.add("svd_projection")
 def svd_projection(spark, sf_dir):
-    df = _features(spark, sf_dir, WIDTH)
+    df = _features(spark, sf_dir)
     return stages.TruncatedSvd(2).fit(df).transform(df)
 
 
-@BOOK.add("stage_chain", "SELECT count(*) AS n, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS std FROM customer")
+_CHAIN = """WITH t AS (SELECT c_custkey AS row_idx, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS x, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS s FROM customer),
+p AS (SELECT s AS top FROM t WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, min(row_idx) LIMIT 1),
+u AS (SELECT row_idx, coalesce(x, avg(x) OVER ()) AS x, CASE WHEN coalesce(s, top) = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b FROM t, p)
+SELECT row_idx, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 5) + 0.0 AS x, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 5) + 0.0 AS building FROM u"""
+
+
+@BOOK.add("stage_chain", _CHAIN)
 def stage_chain(spark, sf_dir):
     df = _holes(spark, sf_dir)
     made = stages.fit_stages(stages.build_stages(), df)
-    return made.agg(F.count("*").alias("n"), (F.round(F.avg("x"), 6) + F.lit(0.0)).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
+    return made.select("row_idx", tidy("x", 5).alias("x"), tidy("`s=BUILDING`", 5).alias("building"))
 
 
 # -- splits and folds
@@ -204,30 +216,33 @@ def roc(spark, sf_dir):
 
 # -- estimators with SQL
 
-_KNN = f"""WITH q AS (SELECT i, j, x FROM {CELLS} WHERE i % 20 = 0 AND j < 4), t AS (SELECT i AS t, j, x AS y FROM {CELLS} WHERE j < 4),
-d AS (SELECT i, t, sqrt(sum((x - y) * (x - y))) AS d FROM q JOIN t USING (j) GROUP BY i, t), n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, t) AS k FROM d)"""
+_KNN = f"""WITH q AS (SELECT i, j, x FROM {CELLS} WHERE i % 20 = 0), t AS (SELECT i AS t, j, x AS y FROM {CELLS}),
+d AS (SELECT i, t, round(sqrt(sum((x - y) * (x - y))), 9) AS d FROM q JOIN t USING (j) GROUP BY i, t), n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, t) AS k FROM d)"""
 
 
 @BOOK.add("knn", _KNN + ", v AS (SELECT n.i, label, count(*) AS c FROM n JOIN embeddings ON vec_id = t WHERE k <= 5 GROUP BY n.i, label) SELECT i AS row_idx, CAST(label AS VARCHAR) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, label) AS r FROM v) WHERE r = 1")
 def knn(spark, sf_dir):
     df = _features(spark, sf_dir)
-    model = estimators.ALGORITHMS["knn"].build({"k": 5}).fit(df, ["x0", "x1", "x2", "x3"])
+    model = estimators.ALGORITHMS["knn"].build({"k": 5}).fit(df, NAMES)
     return model.transform(df.where("row_idx % 20 = 0")).select("row_idx", "prediction")
 
 
 @BOOK.add("knn_regressor", _KNN + ", v AS (SELECT n.i, avg(label) AS p FROM n JOIN embeddings ON vec_id = t WHERE k <= 5 GROUP BY n.i) SELECT i AS row_idx, round(p, 6) AS prediction FROM v")
 def knn_regressor(spark, sf_dir):
     df = _features(spark, sf_dir)
-    model = estimators.ALGORITHMS["knn_regressor"].build({"k": 5}).fit(df, ["x0", "x1", "x2", "x3"])
+    model = estimators.ALGORITHMS["knn_regressor"].build({"k": 5}).fit(df, NAMES)
     return model.transform(df.where("row_idx % 20 = 0")).select("row_idx", F.round("prediction", 6).alias("prediction"))
 
 
-@BOOK.add("gaussian_nb", f"""WITH e AS (SELECT c.i, j, x, label FROM {CELLS} c JOIN embeddings ON vec_id = i WHERE j < 4), m AS (SELECT label, j, avg(x) AS m, greatest(var_pop(x), 1e-9) AS v FROM e GROUP BY label, j), p AS (SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)::DOUBLE) AS p FROM embeddings GROUP BY label),
-s AS (SELECT e.i, m.label, sum(-0.5 * ln(2 * pi() * v) - 0.5 * (x - m) * (x - m) / v) + any_value(p.p) AS s FROM e JOIN m USING (j) JOIN p ON p.label = m.label GROUP BY e.i, m.label)
-SELECT i AS row_idx, CAST(label AS VARCHAR) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, label) AS r FROM s) WHERE r = 1""")
+_BAYES = f"""WITH e AS (SELECT c.i, j, x, label FROM {CELLS} c JOIN embeddings ON vec_id = i), m AS (SELECT label, j, avg(x) AS m, greatest(var_pop(x), 1e-9) AS v FROM e GROUP BY label, j), p AS (SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)::DOUBLE) AS p FROM embeddings GROUP BY label),
+s AS (SELECT e.i, m.label, sum(-0.5 * ln(2 * pi() * v) - 0.5 * (x - m) * (x - m) / v) + any_value(p.p) AS s FROM e JOIN m USING (j) JOIN p ON p.label = m.label GROUP BY e.i, m.label),
+b AS (SELECT i AS row_idx, CAST(label AS VARCHAR) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, label) AS r FROM s) WHERE r = 1)"""
+
+
+@BOOK.add("gaussian_nb", _BAYES + " SELECT * FROM b")
 def gaussian_nb(spark, sf_dir):
     df = _features(spark, sf_dir)
-    return estimators.ALGORITHMS["naive_bayes"].build().fit(df, ["x0", "x1", "x2", "x3"]).transform(df).select("row_idx", "prediction")
+    return estimators.ALGORITHMS["naive_bayes"].build().fit(df, NAMES).transform(df).select("row_idx", "prediction")
 
 
 @BOOK.add("ridge", "WITH s AS (SELECT covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 5) AS w, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem) SELECT round(w, 4) AS weight, round(my - w * mx, 3) AS intercept FROM s")
@@ -248,11 +263,9 @@ _SMALL = {
 def _fit_predict(key: str):
     def query(spark, sf_dir):
         df = _features(spark, sf_dir)
-        if key in ("gradient_boost", "svc"):
-            df = df.withColumn("label", (F.col("label").cast("int") % (2 if key == "gradient_boost" else 3)).cast("string"))
         if estimators.ALGORITHMS[key].kind == "regression":
             df = df.withColumn("label", F.col("x0") * 2 + F.col("x1"))
-        names = ["x0", "x1", "x2", "x3"]
+        names = NAMES
         return estimators.ALGORITHMS[key].build(_SMALL[key]).fit(df, names).transform(df).select("row_idx", "prediction")
 
     return query
@@ -265,45 +278,45 @@ for _key in _SMALL:
 @BOOK.add("ml_pipeline")
 def ml_pipeline(spark, sf_dir):
     df = _features(spark, sf_dir)
-    pipeline = tuning.fit(df, ["x0", "x1", "x2", "x3"], "naive_bayes", config={"polynomial_degree": 2})
+    pipeline = tuning.fit(df, NAMES, "naive_bayes", config={"polynomial_degree": 2})
     return pipeline.transform(df).select("row_idx", "prediction")
 
 
 @BOOK.add("cross_validation")
 def cross_validation(spark, sf_dir):
-    cv = tuning.cross_validate(_features(spark, sf_dir), ["x0", "x1", "x2", "x3"], "naive_bayes", folds=3)
+    cv = tuning.cross_validate(_features(spark, sf_dir), NAMES, "naive_bayes", folds=3)
     return spark.createDataFrame([(k, s, cv["mean"], cv["std"]) for k, s in enumerate(cv["scores"])], "fold int, score double, mean double, std double")
 
 
 @BOOK.add("grid_search")
 def grid_search(spark, sf_dir):
     df = _features(spark, sf_dir).withColumn("label", F.col("x0") * 2 + F.col("x1"))
-    found = tuning.search(df, ["x0", "x1", "x2"], "ridge", {"alpha": [0.1, 1.0]}, metric="rmse", folds=2)
+    found = tuning.search(df, NAMES, "ridge", {"alpha": [0.1, 1.0]}, metric="rmse", folds=2)
     return spark.createDataFrame([(str(t["params"]), t["score"], t["error"]) for t in found["trials"]], "params string, score double, error string")
 
 
 @BOOK.add("random_search")
 def random_search(spark, sf_dir):
     df = _features(spark, sf_dir).withColumn("label", F.col("x0") * 2 + F.col("x1"))
-    found = tuning.search(df, ["x0", "x1", "x2"], "ridge", {"alpha": [0.1, 1.0, 5.0, 10.0]}, "random", "rmse", 2, 2)
+    found = tuning.search(df, NAMES, "ridge", {"alpha": [0.1, 1.0, 5.0, 10.0]}, "random", "rmse", 2, 2)
     return spark.createDataFrame([(str(t["params"]), t["score"], t["error"]) for t in found["trials"]], "params string, score double, error string")
 
 
 @BOOK.add("learning_curve")
 def learning_curve(spark, sf_dir):
-    rows = tuning.learning_curve(_features(spark, sf_dir), ["x0", "x1", "x2", "x3"], "naive_bayes", (0.5, 1.0))
+    rows = tuning.learning_curve(_features(spark, sf_dir), NAMES, "naive_bayes", (0.5, 1.0))
     return spark.createDataFrame([(r["share"], r["accuracy"]) for r in rows], "share double, accuracy double")
 
 
-@BOOK.add("select_features", "SELECT k AS place, 'x' || f AS feature FROM (SELECT row_number() OVER (ORDER BY f DESC) - 1 AS k, j AS f FROM (SELECT 1 AS f, 1 AS j)) WHERE false UNION ALL SELECT r - 1, 'x' || j FROM (SELECT j, row_number() OVER (ORDER BY b / w DESC, j) AS r FROM (SELECT g.j, sum(g.n * (g.m - t.m) * (g.m - t.m)) AS b, sum(g.n * g.v) AS w FROM (SELECT j, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM " + CELLS + " c JOIN embeddings ON vec_id = c.i WHERE j < 4 GROUP BY j, label) g JOIN (SELECT j, avg(x) AS m FROM " + CELLS + " WHERE j < 4 GROUP BY j) t USING (j) GROUP BY g.j)) WHERE r <= 2")
+@BOOK.add("select_features", "SELECT k AS place, 'x' || f AS feature FROM (SELECT row_number() OVER (ORDER BY f DESC) - 1 AS k, j AS f FROM (SELECT 1 AS f, 1 AS j)) WHERE false UNION ALL SELECT r - 1, 'x' || j FROM (SELECT j, row_number() OVER (ORDER BY b / w DESC, j) AS r FROM (SELECT g.j, sum(g.n * (g.m - t.m) * (g.m - t.m)) AS b, sum(g.n * g.v) AS w FROM (SELECT j, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM " + CELLS + " c JOIN embeddings ON vec_id = c.i GROUP BY j, label) g JOIN (SELECT j, avg(x) AS m FROM " + CELLS + " GROUP BY j) t USING (j) GROUP BY g.j)) WHERE r <= 2")
 def select_features(spark, sf_dir):
-    names = tuning.select_features(_features(spark, sf_dir), ["x0", "x1", "x2", "x3"], 2)
+    names = tuning.select_features(_features(spark, sf_dir), NAMES, 2)
     return spark.createDataFrame(list(enumerate(names)), "place long, feature string")
 
 
 @BOOK.add("compare_algorithms")
 def compare_algorithms(spark, sf_dir):
-    runs = tuning.train_all(_features(spark, sf_dir), ["x0", "x1", "x2", "x3"], [{"key": "naive_bayes"}, {"key": "knn"}, {"key": "nonsense"}], folds=2)
+    runs = tuning.train_all(_features(spark, sf_dir), NAMES, [{"key": "naive_bayes"}, {"key": "knn"}, {"key": "nonsense"}], folds=2)
     best = tuning.best_run(runs, "classification")
     return spark.createDataFrame([(r.algorithm, r.status, float(r.metrics.get("accuracy", 0)), r is best) for r in runs], "algorithm string, status string, accuracy double, best boolean")
 
@@ -338,12 +351,12 @@ def registry(spark, sf_dir):
     return spark.createDataFrame([(k, v["type"], len(v["params"])) for k, v in estimators.describe().items()], "key string, type string, params int")
 
 
-@BOOK.add("class_probabilities", "SELECT count(*) AS n, count(*) AS whole FROM embeddings")
+@BOOK.add("class_probabilities", _BAYES + ", x AS (SELECT i, label, exp(s - max(s) OVER (PARTITION BY i)) AS x FROM s) SELECT i AS row_idx, CAST(label AS VARCHAR) AS label, round(x / sum(x) OVER (PARTITION BY i), 6) + 0.0 AS probability FROM x")
 def class_probabilities(spark, sf_dir):
     df = _features(spark, sf_dir)
-    out = estimators.ALGORITHMS["naive_bayes"].build().fit(df, ["x0", "x1", "x2", "x3"]).transform(df)
-    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
-    return out.agg(F.count("*").alias("n"), F.count_if(F.abs(total - 1) < 1e-9).alias("whole"))
+    model = estimators.ALGORITHMS["naive_bayes"].build().fit(df, NAMES)
+    both = F.arrays_zip(F.array(*[F.lit(c) for c in model.classes]).alias("label"), F.col("probability"))
+    return model.transform(df).select("row_idx", F.explode(both).alias("x")).select("row_idx", F.col("x.label").alias("label"), tidy("x.probability").alias("probability"))
 
 
 @BOOK.add("feature_importances", "SELECT 'l_quantity' AS feature, round(abs(covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 5)), 4) AS importance FROM lineitem")
@@ -356,7 +369,7 @@ def feature_importances(spark, sf_dir):
 @BOOK.add("tree_importances")
 def tree_importances(spark, sf_dir):
     df = _features(spark, sf_dir)
-    m = estimators.ALGORITHMS["decision_tree"].build({"max_depth": 4}).fit(df, ["x0", "x1", "x2", "x3"])
+    m = estimators.ALGORITHMS["decision_tree"].build({"max_depth": 4}).fit(df, NAMES)
     return spark.createDataFrame(list(m.importances.items()), "feature string, importance double")
 
 
@@ -380,5 +393,5 @@ def top_values(spark, sf_dir):
 @BOOK.add("silhouette")
 def silhouette(spark, sf_dir):
     df = _features(spark, sf_dir)
-    found = tuning.evaluate(tuning.fit(df, ["x0", "x1", "x2", "x3"], "kmeans", {"k": 3, "epochs": 20}), df)
+    found = tuning.evaluate(tuning.fit(df, NAMES, "kmeans", {"k": 3, "epochs": 20}), df)
     return spark.createDataFrame([(k, n, found["silhouette"]) for k, n in found["cluster_sizes"].items()], "cluster string, n long, silhouette double")

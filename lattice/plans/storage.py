@@ -10,7 +10,7 @@ from ..sources import tables
 from ..sources.catalog import Catalog, validate
 from ..streaming import scoring
 from .base import Book, table
-from .learning import _features
+from .learning import _BAYES, NAMES, _features
 
 BOOK = Book()
 
@@ -79,14 +79,13 @@ def catalog_filter(spark, sf_dir):
     return c.listing("model_runs", F.col("project_id") == 1, F.col("status") == "tuned").select("id", "status")
 
 
-@BOOK.add("model_save_load", "SELECT count(*) AS n, count(*) AS same FROM embeddings")
+@BOOK.add("model_save_load", _BAYES + " SELECT row_idx, prediction, prediction AS again FROM b")
 def model_save_load(spark, sf_dir):
     df, path = _features(spark, sf_dir), new_path(spark)
-    pipeline = tuning.fit(df, ["x0", "x1", "x2", "x3"], "naive_bayes")
+    pipeline = tuning.fit(df, NAMES, "naive_bayes")
     tuning.save(pipeline, path)
     again = tuning.load(spark, path).transform(df).select("row_idx", F.col("prediction").alias("again"))
-    both = pipeline.transform(df).join(again, "row_idx")
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("again")).alias("same"))
+    return pipeline.transform(df).join(again, "row_idx").select("row_idx", "prediction", "again")
 
 
 @BOOK.add("report", "SELECT 2 AS total, 'b' AS best")
@@ -119,15 +118,15 @@ def stream_windows(spark, sf_dir):
     return spark.read.parquet(out).select("start", "event_type", "n", F.round("mean", 6).alias("mean"), "min", "max")
 
 
-@BOOK.add("stream_scoring", "SELECT count(*) AS n FROM embeddings")
+@BOOK.add("stream_scoring", _BAYES + " SELECT * FROM b")
 def stream_scoring(spark, sf_dir):
     df = _features(spark, sf_dir)
-    pipeline = tuning.fit(df, ["x0", "x1", "x2", "x3"], "naive_bayes")
+    pipeline = tuning.fit(df, NAMES, "naive_bayes")
     path, out, checkpoint = new_path(spark), new_path(spark), new_path(spark)
     df.write.parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
     scoring.score_stream(stream, pipeline, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).agg(F.count("prediction").alias("n"))
+    return spark.read.parquet(out).select("row_idx", "prediction")
 
 
 @BOOK.add("validation", "SELECT * FROM (VALUES ('dataset_id', 'dataset_id is not an integer'), ('name', 'name is required'), ('task_type', 'task_type is none of classification,regression,clustering')) t(field, error)")
@@ -155,7 +154,7 @@ def prediction_log(spark, sf_dir):
     return c.table("predictions").select("id", "prediction")
 
 
-@BOOK.add("batch_predict", "SELECT vec_id AS row FROM embeddings")
+@BOOK.add("batch_predict", _BAYES + " SELECT row_idx AS row, prediction FROM b")
 def batch_predict(spark, sf_dir):
     df = _features(spark, sf_dir)
-    return tuning.predict_rows(tuning.fit(df, ["x0", "x1", "x2", "x3"], "naive_bayes"), df.select("x3", "x1", "x0", "x2", "row_idx")).select("row")
+    return tuning.predict_rows(tuning.fit(df, NAMES, "naive_bayes"), df.select(*reversed(NAMES), "row_idx"))

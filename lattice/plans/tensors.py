@@ -364,16 +364,16 @@ def convolve2d(spark, sf_dir):
     return cells(embeddings(spark, sf_dir).convolve([[1.0, 0.5, -1.0], [0.25, 2.0, -0.5]], 2), 5)
 
 
-# -- linear algebra on the 3 x 3 Gram matrix of the first dimensions
+# -- linear algebra on the 3 x 3 Gram matrix of three sums of an embedding's components (each third one)
 
-_G = f"""WITH e AS (SELECT i, max(x) FILTER (WHERE j = 0) AS x, max(x) FILTER (WHERE j = 1) AS y, max(x) FILTER (WHERE j = 2) AS z FROM {CELLS} GROUP BY i),
-g AS (SELECT sum(x * x) / 100 AS a, sum(x * y) / 100 AS b, sum(x * z) / 100 AS c, sum(y * y) / 100 AS d, sum(y * z) / 100 AS e, sum(z * z) / 100 AS f FROM e),
+_G = f"""WITH e AS (SELECT i, sum(x) FILTER (WHERE j % 3 = 0) AS x, sum(x) FILTER (WHERE j % 3 = 1) AS y, sum(x) FILTER (WHERE j % 3 = 2) AS z FROM {CELLS} GROUP BY i),
+g AS (SELECT sum(x * x) / 1000 AS a, sum(x * y) / 1000 AS b, sum(x * z) / 1000 AS c, sum(y * y) / 1000 AS d, sum(y * z) / 1000 AS e, sum(z * z) / 1000 AS f FROM e),
 h AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g)"""
 
 
 def _gram3(spark, sf_dir) -> np.ndarray:
     m = embeddings(spark, sf_dir)
-    return Matrix(m.df.select("row_id", F.slice("v", 1, 3).alias("v")), n=3).gram().local() / 100
+    return m.times((np.arange(m.n)[:, None] % 3 == np.arange(3)).astype(float)).gram().local() / 1000
 
 
 def _rows(spark, values: np.ndarray, digits: int = 5) -> DataFrame:
@@ -381,74 +381,110 @@ def _rows(spark, values: np.ndarray, digits: int = 5) -> DataFrame:
     return spark.createDataFrame([(i, j, float(np.round(values[i, j], digits) + 0.0)) for i in range(values.shape[0]) for j in range(values.shape[1])], "i long, j long, y double")
 
 
-def _matrix_sql(entries_: list[list[str]], digits: int = 5) -> str:
-    return _G + " " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS i, {j}::BIGINT AS j, round({x}, {digits}) + 0.0 AS y FROM h" for i, r in enumerate(entries_) for j, x in enumerate(r))
+def _matrix_sql(entries_: list[list[str]], digits: int = 5, more: str = "", source: str = "h") -> str:
+    return _G + more + " " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS i, {j}::BIGINT AS j, round({x}, {digits}) + 0.0 AS y FROM {source}" for i, r in enumerate(entries_) for j, x in enumerate(r))
 
 
+_A = [["a", "b", "c"], ["b", "d", "e"], ["c", "e", "f"]]
 _INVERSE = [["(d * f - e * e) / det", "(c * e - b * f) / det", "(b * e - c * d) / det"], ["(c * e - b * f) / det", "(a * f - c * c) / det", "(b * c - a * e) / det"], ["(b * e - c * d) / det", "(b * c - a * e) / det", "(a * d - b * b) / det"]]
+_SOLVED = ["(" + " + 2 * ".join(r[:2]) + " + 3 * " + r[2] + ")" for r in _INVERSE]
+_RIGHT = np.array([[1.0], [2.0], [3.0]])
 BOOK["linalg_det"] = (lambda s, d: _rows(s, np.array([[linalg.det(_gram3(s, d))]]), 3), _matrix_sql([["det"]], 3))
 BOOK["linalg_inverse"] = (lambda s, d: _rows(s, linalg.inverse(_gram3(s, d))), _matrix_sql(_INVERSE))
 BOOK["linalg_pseudoinverse"] = (lambda s, d: _rows(s, linalg.pseudoinverse(_gram3(s, d))), _matrix_sql(_INVERSE))
-BOOK["linalg_solve"] = (lambda s, d: _rows(s, linalg.solve(_gram3(s, d), np.array([[1.0], [2.0], [3.0]]))), _matrix_sql([[" + 2 * ".join(r[:2]) + " + 3 * " + r[2]] for r in _INVERSE]))
+BOOK["linalg_solve"] = (lambda s, d: _rows(s, linalg.solve(_gram3(s, d), _RIGHT)), _matrix_sql([[x] for x in _SOLVED]))
 _L = [["sqrt(a)", "0.0::DOUBLE", "0.0::DOUBLE"], ["b / sqrt(a)", "sqrt(d - b * b / a)", "0.0::DOUBLE"], ["c / sqrt(a)", "(e - b * c / a) / sqrt(d - b * b / a)", "sqrt(det / (a * d - b * b))"]]
 BOOK["linalg_cholesky"] = (lambda s, d: _rows(s, linalg.cholesky(_gram3(s, d))), _matrix_sql(_L))
 BOOK["linalg_rank"] = (lambda s, d: _rows(s, np.array([[linalg.rank(_gram3(s, d))]]), 0), _matrix_sql([["CASE WHEN abs(det) > 1e-10 THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END"]], 0))
-BOOK["linalg_rref"] = (lambda s, d: _rows(s, linalg.rref(_gram3(s, d))), _matrix_sql([["1.0::DOUBLE" if i == j else "0.0::DOUBLE" for j in range(3)] for i in range(3)]))
+# Of the matrix beside a right side: the identity beside the solution.
+BOOK["linalg_rref"] = (
+    lambda s, d: _rows(s, linalg.rref(np.hstack([_gram3(s, d), _RIGHT]))),
+    _matrix_sql([["1.0::DOUBLE" if i == j else "0.0::DOUBLE" for j in range(3)] + [_SOLVED[i]] for i in range(3)]),
+)
 
+# Elimination: p, q, t are the rows in the order in which they become pivots.
+_ELIMINATION = """, m AS (SELECT 0 AS k, a AS c0, b AS c1, c AS c2 FROM g UNION ALL SELECT 1, b, d, e FROM g UNION ALL SELECT 2, c, e, f FROM g),
+p AS (SELECT * FROM m ORDER BY abs(c0) DESC, k LIMIT 1),
+s AS (SELECT m.k, m.c0 / p.c0 AS l0, m.c1 - m.c0 / p.c0 * p.c1 AS c1, m.c2 - m.c0 / p.c0 * p.c2 AS c2 FROM m, p WHERE m.k <> p.k),
+q AS (SELECT * FROM s ORDER BY abs(c1) DESC, k LIMIT 1),
+t AS (SELECT s.k, s.l0, s.c1 / q.c1 AS l1, s.c2 - s.c1 / q.c1 * q.c2 AS c2 FROM s, q WHERE s.k <> q.k)"""
+_ZERO = "0.0::DOUBLE"
+_U = [["p.c0", "p.c1", "p.c2"], [_ZERO, "q.c1", "q.c2"], [_ZERO, _ZERO, "t.c2"]]
 
-def _residual(make):
-    def query(spark, sf_dir):
-        return _rows(spark, np.array([[make(_gram3(spark, sf_dir))]]), 6)
 
-    return query
+def _lu(a: np.ndarray) -> np.ndarray:
+    """L without its diagonal and U in one, and the rows' order below."""
+    x = linalg.lu(a)
+    return np.vstack([x["L"] - np.eye(3) + x["U"], x["P"].argmax(axis=1)])
 
 
-def _lu_error(a):
-    x = linalg.lu(a)
-    return np.abs(x["P"] @ a - x["L"] @ x["U"]).max()
+def _ref(a: np.ndarray) -> np.ndarray:
+    u, swaps = linalg.ref(a)
+    return np.vstack([u, [swaps, 0, 0]])
 
 
-def _qr_error(a):
+def _qr(a: np.ndarray) -> np.ndarray:
     q, r = linalg.qr(a)
-    return max(np.abs(q @ r - a).max(), np.abs(q.T @ q - np.eye(3)).max(), np.abs(np.tril(r, -1)).max())
+    return np.vstack([r, q])
 
 
-def _svd_error(a):
+def _svd(a: np.ndarray) -> np.ndarray:
+    """Singular values, and below them the product of the parts."""
     x = linalg.svd(a)
-    return np.abs(x["U"] @ np.diag(x["s"]) @ x["VT"] - a).max()
+    return np.vstack([x["s"], x["U"] @ np.diag(x["s"]) @ x["VT"]])
 
 
-def _eig_error(a):
+def _eig_symmetric(a: np.ndarray) -> np.ndarray:
     x = linalg.eig(a, True)
-    return np.abs(x["vectors"] @ np.diag(x["values"]) @ x["vectors"].T - a).max()
-
-
-def _general_eig_error(a):
-    x = linalg.eig(a)
-    return abs(x["values"].sum() - np.trace(a)) + abs(x["values_imag"]).max()
-
-
-def _ref_error(a):
-    u, swaps = linalg.ref(a)
-    return abs(np.prod(np.diag(u)) * (-1) ** swaps - linalg.det(a)) / abs(linalg.det(a))
-
-
-for _name, _make in {"lu": _lu_error, "qr": _qr_error, "svd": _svd_error, "eig_symmetric": _eig_error, "eig_general": _general_eig_error, "ref": _ref_error}.items():
-    BOOK[f"linalg_{_name}"] = (_residual(_make), "SELECT 0::BIGINT AS i, 0::BIGINT AS j, 0.0::DOUBLE AS y")
-_E2 = "(a + d) / 2 {} sqrt((a - d) * (a - d) / 4 + b * b)"
-BOOK["linalg_eigenvalues"] = (lambda s, d: _rows(s, linalg.eig(_gram3(s, d)[:2, :2], True)["values"]), _matrix_sql([[_E2.format("-"), _E2.format("+")]]))
-BOOK["linalg_singular_values"] = (lambda s, d: _rows(s, linalg.svd(_gram3(s, d)[:2, :2])["s"]), _matrix_sql([[_E2.format("+"), _E2.format("-")]]))
+    return np.vstack([x["values"], x["vectors"] @ np.diag(x["values"]) @ x["vectors"].T])
+
+
+def _eig_general(a: np.ndarray) -> np.ndarray:
+    """Of the matrix with its rows times 1, 2 and 3: the symmetric functions of the values, and their imaginary parts."""
+    x = linalg.eig(np.diag([1.0, 2.0, 3.0]) @ a)
+    v = x["values"]
+    return np.vstack([[v.sum(), v[0] * v[1] + v[0] * v[2] + v[1] * v[2], v.prod()], x["values_imag"]])
+
+
+# R is the Cholesky factor of A'A, and Q follows from it column by column.
+_QR = """, n AS (SELECT *, a * a + b * b + c * c AS aa, a * b + b * d + c * e AS ab, a * c + b * e + c * f AS ac, b * b + d * d + e * e AS bb, b * c + d * e + e * f AS bc FROM h),
+r AS (SELECT *, sqrt(aa) AS r00, ab / sqrt(aa) AS r01, ac / sqrt(aa) AS r02, sqrt(bb - ab * ab / aa) AS r11, (bc - ab * ac / aa) / sqrt(bb - ab * ab / aa) AS r12, abs(det) / sqrt(aa * bb - ab * ab) AS r22 FROM n),
+u AS (SELECT *, a / r00 AS q00, b / r00 AS q10, c / r00 AS q20 FROM r),
+v AS (SELECT *, (b - r01 * q00) / r11 AS q01, (d - r01 * q10) / r11 AS q11, (e - r01 * q20) / r11 AS q21 FROM u),
+w AS (SELECT *, (c - r02 * q00 - r12 * q01) / r22 AS q02, (e - r02 * q10 - r12 * q11) / r22 AS q12, (f - r02 * q20 - r12 * q21) / r22 AS q22 FROM v)"""
+# The values of a symmetric 3 x 3 matrix by the trigonometric solution of its cubic.
+_VALUES = """, k AS (SELECT *, (a + d + f) / 3 AS q, sqrt(((a - (a + d + f) / 3) ** 2 + (d - (a + d + f) / 3) ** 2 + (f - (a + d + f) / 3) ** 2 + 2 * (b * b + c * c + e * e)) / 6) AS p FROM h),
+o AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - c * e) + c * (b * e - c * (d - q))) / (2 * p * p * p)))) / 3 AS phi FROM k),
+x AS (SELECT *, q + 2 * p * cos(phi) AS v1, q + 2 * p * cos(phi + 2 * pi() / 3) AS v3, 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)) AS v2 FROM o)"""
+_FALLING, _RISING = ["v1", "v2", "v3"], ["v3", "v2", "v1"]
+
+
+def _of_gram(make, digits: int = 5):
+    return lambda spark, sf_dir: _rows(spark, make(_gram3(spark, sf_dir)), digits)
+
+
+BOOK["linalg_lu"] = (_of_gram(_lu), _matrix_sql([_U[0], ["q.l0", *_U[1][1:]], ["t.l0", "t.l1", "t.c2"], ["p.k::DOUBLE", "q.k::DOUBLE", "t.k::DOUBLE"]], 5, _ELIMINATION, "p, q, t"))
+_SWAPS = "(CASE WHEN p.k <> 0 THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN q.k <> CASE WHEN p.k = 1 THEN 0 ELSE 1 END THEN 1.0::DOUBLE ELSE 0 END)"
+BOOK["linalg_ref"] = (_of_gram(_ref), _matrix_sql([*_U, [_SWAPS, _ZERO, _ZERO]], 5, _ELIMINATION, "p, q, t"))
+BOOK["linalg_qr"] = (_of_gram(_qr), _matrix_sql([["r00", "r01", "r02"], [_ZERO, "r11", "r12"], [_ZERO, _ZERO, "r22"], *[[f"q{i}{j}" for j in range(3)] for i in range(3)]], 5, _QR, "w"))
+BOOK["linalg_svd"] = (_of_gram(_svd), _matrix_sql([_FALLING, *_A], 5, _VALUES, "x"))
+BOOK["linalg_eig_symmetric"] = (_of_gram(_eig_symmetric), _matrix_sql([_RISING, *_A], 5, _VALUES, "x"))
+BOOK["linalg_eig_general"] = (_of_gram(_eig_general, 3), _matrix_sql([["a + 2 * d + 3 * f", "2 * (a * d - b * b) + 3 * (a * f - c * c) + 6 * (d * f - e * e)", "6 * det"], [_ZERO] * 3], 3))
+BOOK["linalg_eigenvalues"] = (_of_gram(lambda a: linalg.eig(a, True)["values"]), _matrix_sql([_RISING], 5, _VALUES, "x"))
+BOOK["linalg_singular_values"] = (_of_gram(lambda a: linalg.svd(a)["s"]), _matrix_sql([_FALLING], 5, _VALUES, "x"))
+# By the signs of the leading minors; the third matrix is the first less its mean diagonal.
 BOOK["linalg_definite"] = (
-    lambda s, d: (lambda g: s.range(1).select(F.lit(linalg.positive_definite(g)).alias("definite"), F.lit(linalg.positive_semidefinite(g)).alias("semidefinite"), F.lit(linalg.positive_definite(-g)).alias("negated")))(_gram3(s, d)),
-    "SELECT true AS definite, true AS semidefinite, false AS negated",
+    lambda s, d: (lambda g: s.range(1).select(F.lit(linalg.positive_definite(g)).alias("definite"), F.lit(linalg.positive_semidefinite(g)).alias("semidefinite"), F.lit(linalg.positive_definite(-g)).alias("negated"), F.lit(linalg.positive_semidefinite(g - np.eye(3) * np.trace(g) / 3)).alias("shifted")))(_gram3(s, d)),
+    _G + _VALUES + " SELECT a > 0 AND a * d - b * b > 0 AND det > 0 AS definite, v3 >= 0 AS semidefinite, a < 0 AND a * d - b * b > 0 AND det < 0 AS negated, v3 - q >= 0 AS shifted FROM x",
 )
 
 
-@BOOK.add("truncated_svd", f"WITH e AS (SELECT i, max(x) FILTER (WHERE j = 0) AS x, max(x) FILTER (WHERE j = 1) AS y FROM {CELLS} GROUP BY i), g AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS d FROM e) SELECT 0::BIGINT AS i, 0::BIGINT AS j, round(sqrt({_E2.format('+')}), 4) AS y FROM g UNION ALL SELECT 0, 1, round(sqrt({_E2.format('-')}), 4) FROM g")
+@BOOK.add("truncated_svd", f"WITH e AS {CELLS}, g AS (SELECT sum(a.x * b.x) / 1000 AS x FROM e a JOIN e b ON a.i = b.i GROUP BY a.j, b.j) SELECT 0::BIGINT AS i, 0::BIGINT AS j, round((SELECT sum(x * x) / 1000 FROM e), 4) AS y UNION ALL SELECT 0, 1, round((SELECT sum(x * x) FROM g), 4)")
 def truncated_svd(spark, sf_dir):
+    """Of all singular values the sums of squares and of fourth powers, which are those of the matrix and its Gram matrix."""
     m = embeddings(spark, sf_dir)
-    s, _ = linalg.truncated_svd(Matrix(m.df.select("row_id", F.slice("v", 1, 2).alias("v")), n=2), 2)
-    return _rows(spark, s, 4)
+    s, _ = linalg.truncated_svd(m, m.n)
+    return _rows(spark, np.array([(s**2).sum() / 1e3, (s**4).sum() / 1e6]), 4)
 
 
 @BOOK.add("batched_det", "SELECT vec_id AS i, round(CAST(embedding[1] AS DOUBLE) * embedding[4]::DOUBLE - embedding[2]::DOUBLE * embedding[3]::DOUBLE, 6) + 0.0 AS y FROM embeddings")
