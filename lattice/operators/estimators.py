@@ -232,6 +232,17 @@ class _FeatureMap:
         return df.select(*[F.col(f"`{c}`") for c in df.columns if c != "_x"], *[m.alias(n) for m, n in zip(made, self.names, strict=True)])
 
 
+    def to_dict(self) -> dict:
+        return {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items()}
+
+    @classmethod
+    def from_dict(cls, held: dict) -> _FeatureMap:
+        """Arrays may be lists: they are read row by row."""
+        out = cls(held["kernel"], held["features"], held["seed"], held["size"])
+        vars(out).update(held)
+        return out
+
+
 class _Mapped(Model):
     def __init__(self, mapped: _FeatureMap, model: Model):
         self.mapped, self.model, self.classes = mapped, model, model.classes
@@ -522,35 +533,41 @@ class _BoostModel(Model):
 # -- density clusters
 
 
+def in_reach(a: DataFrame, b: DataFrame, radius: float, width: int) -> DataFrame:
+    """a's columns and b's, of rows whose vectors v and v2 are within the radius.
+
+    Rows meet through a grid of cells as wide as the radius, over the first few of the vectors' width components.
+    """
+    grid = lambda v: F.array(*[F.floor(F.get(v, F.lit(i)) / F.lit(radius)).cast("long") for i in range(min(Dbscan.GRID, width))])
+    steps: list[list[int]] = [[]]
+    for _ in range(min(Dbscan.GRID, width)):
+        steps = [s + [d] for s in steps for d in (-1, 0, 1)]
+    moved = F.explode(F.array(*[F.array(*[F.get("c", F.lit(i)) + F.lit(d) for i, d in enumerate(s)]) for s in steps]))
+    far = F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    other = b.withColumn("c", grid("v2")).select(*b.columns, moved.alias("c"))
+    return a.withColumn("c", grid("v")).join(other, "c").where(far <= radius * radius).drop("c")
+
+
 class Dbscan(Estimator):
     """Rows within the radius of min_samples rows (themselves included) are cores; cores in reach form a cluster.
 
-    Rows meet through a grid of cells as wide as the radius, over the first few columns; noise is -1.
+    Clusters are numbered by their smallest row_idx. Any other row, of the training table or not, belongs to the
+    first cluster with a core in its reach, or to none (-1).
     """
 
     GRID = 3
 
     def fit(self, df: DataFrame, features: list[str], label: str = "label") -> Model:
+        from pyspark.sql import Window
+
         radius, least = self.params["radius"], self.params["min_samples"]
         rows = vector(df, features).select(F.col(ROWS).cast("long").alias("id"), F.col("_v").alias("v"))
-        grid = [F.floor(F.get("v", F.lit(i)) / F.lit(radius)).cast("long") for i in range(min(self.GRID, len(features)))]
-        placed = rows.select("id", "v", F.array(*grid).alias("c"))
-        steps = [[]]
-        for _ in grid:
-            steps = [s + [d] for s in steps for d in (-1, 0, 1)]
-        moved = F.explode(F.array(*[F.array(*[F.get("c", F.lit(i)) + F.lit(d) for i, d in enumerate(s)]) for s in steps]))
-        other = placed.select(F.col("id").alias("id2"), F.col("v").alias("v2"), moved.alias("c"))
-        far = F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-        near = placed.join(other, "c").where(far <= radius * radius).select("id", "id2")
-        near = near.persist()
+        near = materialise(in_reach(rows, rows.select(F.col("id").alias("id2"), F.col("v").alias("v2")), radius, len(features)).select("id", "id2"))
         core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
-        links = near.join(core, "id").join(core.select(F.col("id").alias("id2")), "id2").select(F.col("id").alias("u"), F.col("id2").alias("v"))
-        labels = connected(links)
-        border = near.join(core, "id").select("id", "id2").join(labels.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_")).groupBy(F.col("id2").alias("id")).agg(F.min("component").alias("root"))
-        found = rows.select("id").join(labels, "id", "left").join(border, "id", "left").select("id", F.coalesce("component", "root").alias("root")).persist()
-        found.count()
-        near.unpersist()
-        return _DbscanModel(found)
+        labels = connected(near.join(core, "id").join(core.select(F.col("id").alias("id2")), "id2").select(F.col("id").alias("u"), F.col("id2").alias("v")))
+        # A row for each cluster.
+        names = labels.select("component").distinct().select("component", (F.row_number().over(Window.orderBy("component")) - 1).alias("prediction"))
+        return _DbscanModel(materialise(rows.join(labels.join(names, "component"), "id").select(F.col("v").alias("v2"), "prediction")), features, radius)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -561,17 +578,17 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 class _DbscanModel(Model):
-    def __init__(self, found: DataFrame):
-        self.found = found
+    """cores: (v2, prediction) of the core rows."""
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        roots = self.found.where("root IS NOT NULL").select("root").distinct()
-        from pyspark.sql import Window
+    def __init__(self, cores: DataFrame, features: list[str], radius: float):
+        self.cores, self.features, self.radius = cores, features, radius
 
-        # A row for each cluster.
-        names = roots.select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("prediction"))
-        labels = self.found.join(names, "root", "left").select(F.col("id").alias("_id"), F.coalesce("prediction", F.lit(-1)).cast("int").alias("prediction"))
-        return df.join(labels, df[ROWS] == labels["_id"], "left").drop("_id")
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = vector(df, self.features)
+        asked = rows.select(F.col("_v").alias("v")).distinct()  # equal rows are looked up once
+        found = in_reach(asked, self.cores, self.radius, len(self.features)).groupBy("v").agg(F.min("prediction").alias("_p"))
+        names = [F.col(f"`{c}`") for c in df.columns]
+        return rows.join(found, rows["_v"] == found["v"], "left").select(*names, F.coalesce("_p", F.lit(-1)).cast("int").alias("prediction"))
 
 
 # -- the registry

@@ -572,10 +572,25 @@ class Matrix:
         return map_arrow(self.df.select("v"), run, "g array<double>")
 
     def gram(self) -> Matrix:
-        """X'X: each task sums its rows' products; the sums, n x n each, are added cell by cell."""
+        """X'X: each task sums its rows' products; the sums, n x n each, are added in two steps, or cell by cell if large."""
         n = self.n
-        cells = self.gram_partials().select(F.posexplode("g").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"))
-        return Matrix.from_cells(cells.select(F.floor(F.col("p") / F.lit(n)).alias("i"), (F.col("p") % F.lit(n)).alias("j"), "x"), n, n)
+        if n * n > GRAM_CELLS:
+            cells = self.gram_partials().select(F.posexplode("g").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"))
+            return Matrix.from_cells(cells.select(F.floor(F.col("p") / F.lit(n)).alias("i"), (F.col("p") % F.lit(n)).alias("j"), "x"), n, n)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = numbers(batch.column(0)).sum(axis=0)
+                    total = part if total is None else total + part
+            yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tolist()], pa.list_(pa.float64()))], ["g"])
+
+        partials = self.gram_partials()
+        some = map_arrow(partials.repartition(GRAM_TASKS), add, "g array<double>")
+        whole = map_arrow(some.repartition(1), add, "g array<double>")  # at most GRAM_TASKS rows
+        row = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice("g", i * n + 1, n)))
+        return Matrix(whole.select(row.alias("i", "v")).select(F.col("i").cast("long").alias("row_id"), "v"), n, n)
 
     def convolve(self, kernel: list[list[float]], stride: int = 1) -> Matrix:
         """Valid two-dimensional cross-correlation: each cell is sent to the outputs it bears on."""
@@ -591,6 +606,10 @@ class Matrix:
         return Matrix.from_cells(made, om, on)
 
 
+#: Cells of a product that a task adds up as a whole (a batch holds many such rows), and the tasks of the first of two such steps.
+GRAM_CELLS, GRAM_TASKS = 65_536, 8
+
+
 def chain(*matrices: Matrix) -> Matrix:
     """The product of several matrices, in the order of least work (the classic dynamic program)."""
     sizes = [matrices[0].m, *[x.n for x in matrices]]

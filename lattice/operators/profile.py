@@ -79,13 +79,12 @@ def _numbers(df: DataFrame, names: list[str], order: str | None = None) -> DataF
     return df.select(cells.alias("c")).select("c.name", "c.v").where("v IS NOT NULL")
 
 
-def at_places(values: DataFrame, places: dict[str, tuple[float, Column]]) -> DataFrame:
+def at_places(values: DataFrame, places: dict[str, tuple[float, Column]], near: float = 0.005) -> DataFrame:
     """(name, q, v) of (name, v): for each label q, the element at a place (an expression in n) of each name's sorted values, exact.
 
-    Approximate quantiles about the place's share of n bracket it; what lies below a bracket is counted, and only
+    Approximate quantiles about the place's share of n (as far as near from it) bracket it; what lies below a bracket is counted, and only
     the values inside it, a small share of the data, are put in order. No name's values are gathered.
     """
-    near = 0.005
     grid = sorted({max(0.0, min(1.0, s + d)) for s, _ in places.values() for d in (-near, near)})
     about = values.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("v", grid, 20_000).alias("g"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 

@@ -15,12 +15,35 @@ from pyspark.sql import functions as F
 from ..functions.text import float_value, is_missing, is_numeric
 from . import linalg
 from .matrix import Matrix
+from .profile import at_places
 
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def quantiles(df: DataFrame, names: list[str], shares: list[float]) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of numeric columns, between the two nearest values by share; blanks and NaN are left out.
+
+    No column is gathered: see at_places. A column without numbers has none.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), _c(c).cast("double").alias("v")) for c in names]))
+    values = df.select(cells.alias("c")).select("c.*").where("v IS NOT NULL AND NOT isnan(v)")
+    counts = {r.name: r.n for r in values.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    place = lambda q: F.lit(q) * (F.col("n") - F.lit(1))
+    places = {f"{side}{k}": (q, f(place(q))) for k, q in enumerate(shares) for side, f in (("a", F.floor), ("b", F.ceil))}
+    # A place differs from its share of n by less than two.
+    found = {(r.name, r.q): r.v for r in at_places(values, places, max(0.0005, 2.0 / min(counts.values()))).collect()} if counts else {}
+
+    def between(c: str, k: int, q: float) -> float | None:
+        if c not in counts:
+            return None
+        a, b, at = found[c, f"a{k}"], found[c, f"b{k}"], q * (counts[c] - 1)
+        return a + (at - np.floor(at)) * (b - a)
+
+    return {c: {q: between(c, k, q) for k, q in enumerate(shares)} for c in names}
+
+
 @dataclass
 class Stage:
     """columns: those it works on, in order; None until fitted where it takes all numeric ones."""
@@ -75,12 +98,14 @@ class Imputer(Stage):
         self.strategy, self.order = strategy, order
 
     def fit(self, df: DataFrame) -> Stage:
-        of = F.avg if self.strategy == "mean" else F.median
         numbers, texts = self.numeric(df), self.textual(df)
         self.state = {"numbers": {}, "texts": {}}
-        if numbers:
-            row = df.agg(*[of(F.when(~F.isnan(_c(c).cast("double")), _c(c).cast("double"))).alias(f"c{i}") for i, c in enumerate(numbers)]).first()
-            self.state["numbers"] = {c: row[f"c{i}"] if row[f"c{i}"] is not None else 0.0 for i, c in enumerate(numbers)}
+        if numbers and self.strategy == "mean":
+            row = df.agg(*[F.avg(F.when(~F.isnan(_c(c).cast("double")), _c(c).cast("double"))).alias(f"c{i}") for i, c in enumerate(numbers)]).first()
+            found = {c: row[f"c{i}"] for i, c in enumerate(numbers)}
+        else:
+            found = {c: x[0.5] for c, x in quantiles(df, numbers, [0.5]).items()} if numbers else {}
+        self.state["numbers"] = {c: 0.0 if v is None else float(v) for c, v in found.items()}
         for c in texts:
             place = _c(self.order) if self.order in df.columns else F.lit(0)
             top = df.where(~is_missing(_c(c)) & (_c(c) != "?")).groupBy(_c(c).alias("x")).agg(F.count("*").alias("n"), F.min(place).alias("first")).orderBy(F.desc("n"), "first", "x").first()
@@ -126,13 +151,14 @@ class Scale(Stage):
             self.state["shift"] = {}
             return self
 
+        if self.method == "robust":
+            found = quantiles(df, names, [0.25, 0.5, 0.75])
+            self.state["shift"] = {c: (None, None) if x[0.5] is None else (float(x[0.5]), float(x[0.75] - x[0.25])) for c, x in found.items()}
+            return self
+
         def pair(c: str) -> tuple[Column, Column]:
             x = _c(c).cast("double")
-            if self.method == "z_scale":
-                return F.avg(x), F.stddev_pop(x)
-            if self.method == "min_max":
-                return F.min(x), F.max(x) - F.min(x)
-            return F.median(x), F.percentile(x, 0.75) - F.percentile(x, 0.25)
+            return (F.avg(x), F.stddev_pop(x)) if self.method == "z_scale" else (F.min(x), F.max(x) - F.min(x))
 
         row = df.agg(*[p.alias(f"{k}{i}") for i, c in enumerate(names) for k, p in zip("ab", pair(c), strict=True)]).first()
         self.state["shift"] = {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(names)}

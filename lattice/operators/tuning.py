@@ -34,12 +34,13 @@ class Pipeline(Model):
         return self.model.classes
 
     def transform(self, df: DataFrame) -> DataFrame:
-        marked = df if "row_idx" in df.columns else df.withColumn("row_idx", F.monotonically_increasing_id())
-        ready = stages.apply_stages(self.steps, marked.select("row_idx", *[F.col(f"`{c}`") for c in self.features]))
-        made = self.model.transform(ready)
-        extra = ["probability"] if "probability" in made.columns else []
-        out = made.select(F.col("row_idx").alias("_r"), "prediction", *extra)
-        return marked.join(out, marked["row_idx"] == out["_r"]).drop("_r") if "row_idx" in df.columns else marked.join(out, marked["row_idx"] == out["_r"]).drop("_r", "row_idx")
+        """df with predictions, row by row: the columns given go along in a struct, so nothing is joined back."""
+        own = [c for c in df.columns if c == "row_idx" or c in self.features]
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_given"), *[F.col(f"`{c}`") for c in own])
+        if "row_idx" not in own:
+            rows = rows.withColumn("row_idx", F.monotonically_increasing_id())
+        made = self.model.transform(stages.apply_stages(self.steps, rows))
+        return made.select("_given.*", "prediction", *(["probability"] if "probability" in made.columns else []))
 
 
 def fit(df: DataFrame, features: list[str], algorithm: str, params: dict | None = None, config: dict | None = None, seed: int = 0) -> Pipeline:
@@ -207,55 +208,68 @@ def select_features(df: DataFrame, features: list[str], k: int, regression: bool
     return sorted(features, key=lambda c: (-value[c], features.index(c)))[:k]
 
 
-def save(pipeline: Pipeline, path: str) -> None:
-    """Stages and model under a path that the session can write: JSON beside the engine's own format."""
-    from pyspark.sql import SparkSession
-
+def _store(m: Model, path: str) -> dict[str, Any]:
+    """What describes a model; what is too large for that is written under path."""
     from . import estimators as E
 
-    spark = SparkSession.active()
-    m = pipeline.model
-    head: dict[str, Any] = {"features": pipeline.features, "task": pipeline.task, "stages": stages.to_json(pipeline.steps)}
     if isinstance(m, E.SparkModel):
-        head |= {"model": "engine", "inputs": m.features, "classes": m.classes, "importances": m.importances, "parts": [f"{type(s).__module__}.{type(s).__name__}" for s in m.stages]}
-        for k, s in enumerate(m.stages):
-            s.write().overwrite().save(f"{path}/part{k}")
-    elif isinstance(m, E.LinearModel):
-        head |= {"model": "linear", "inputs": m.features, "weights": m.weights, "intercept": m.intercept}
-    elif isinstance(m, E._BayesModel):
-        head |= {"model": "bayes", "inputs": m.features, "classes": m.classes, "table": m.table}
-    elif isinstance(m, E._BoostModel):
-        head |= {"model": "boost", "inputs": m.features, "classes": m.classes, "found": [(a, vars(s)) for a, s in m.found]}
-    elif isinstance(m, E._NeighbourModel):
-        head |= {"model": "neighbours", "inputs": m.features, "classes": m.classes, "k": m.k, "weighted": m.weighted, "regression": m.regression}
+        for k, part in enumerate(m.stages):
+            part.write().overwrite().save(f"{path}/part{k}")
+        return {"model": "engine", "inputs": m.features, "classes": m.classes, "importances": m.importances, "parts": [f"{type(x).__module__}.{type(x).__name__}" for x in m.stages]}
+    if isinstance(m, E.LinearModel):
+        return {"model": "linear", "inputs": m.features, "weights": m.weights, "intercept": m.intercept}
+    if isinstance(m, E._BayesModel):
+        return {"model": "bayes", "inputs": m.features, "classes": m.classes, "table": m.table}
+    if isinstance(m, E._BoostModel):
+        return {"model": "boost", "inputs": m.features, "classes": m.classes, "found": [(a, vars(x)) for a, x in m.found]}
+    if isinstance(m, E._NeighbourModel):
         m.train.write.mode("overwrite").parquet(f"{path}/train")
-    else:
-        raise ValueError(f"{type(m).__name__} can't be stored")
-    spark.createDataFrame([(json.dumps(head),)], "head string").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+        return {"model": "neighbours", "inputs": m.features, "classes": m.classes, "k": m.k, "weighted": m.weighted, "regression": m.regression}
+    if isinstance(m, E._DbscanModel):
+        m.cores.write.mode("overwrite").parquet(f"{path}/cores")
+        return {"model": "density", "inputs": m.features, "radius": m.radius}
+    if isinstance(m, E._Mapped):
+        return {"model": "mapped", "map": m.mapped.to_dict(), "of": _store(m.model, path)}
+    raise ValueError(f"{type(m).__name__} can't be stored")
 
 
-def load(spark, path: str) -> Pipeline:
+def _restore(spark, head: dict[str, Any], path: str) -> Model:
     import importlib
 
     from . import estimators as E
 
-    head = json.loads(spark.read.parquet(f"{path}/head").first().head)
     kind = head["model"]
     if kind == "engine":
         parts = []
         for k, name in enumerate(head["parts"]):
             module, _, cls = name.rpartition(".")
             parts.append(getattr(importlib.import_module(module), cls).load(f"{path}/part{k}"))
-        model: Model = E.SparkModel(parts, head["inputs"], head["classes"], head["importances"])
-    elif kind == "linear":
-        model = E.LinearModel(head["inputs"], head["weights"], head["intercept"])
-    elif kind == "bayes":
-        model = E._BayesModel(head["classes"], head["inputs"], head["table"])
-    elif kind == "boost":
-        model = E._BoostModel([(a, E._Stump(**s)) for a, s in head["found"]], head["inputs"], head["classes"])
-    else:
-        model = E._NeighbourModel(spark.read.parquet(f"{path}/train"), head["inputs"], head["k"], head["weighted"], head["regression"], head["classes"])
-    return Pipeline(stages.from_json(head["stages"]), model, head["features"], head["task"])
+        return E.SparkModel(parts, head["inputs"], head["classes"], head["importances"])
+    if kind == "linear":
+        return E.LinearModel(head["inputs"], head["weights"], head["intercept"])
+    if kind == "bayes":
+        return E._BayesModel(head["classes"], head["inputs"], head["table"])
+    if kind == "boost":
+        return E._BoostModel([(a, E._Stump(**x)) for a, x in head["found"]], head["inputs"], head["classes"])
+    if kind == "density":
+        return E._DbscanModel(spark.read.parquet(f"{path}/cores"), head["inputs"], head["radius"])
+    if kind == "mapped":
+        return E._Mapped(E._FeatureMap.from_dict(head["map"]), _restore(spark, head["of"], path))
+    return E._NeighbourModel(spark.read.parquet(f"{path}/train"), head["inputs"], head["k"], head["weighted"], head["regression"], head["classes"])
+
+
+def save(pipeline: Pipeline, path: str) -> None:
+    """Stages and model under a path that the session can write: JSON beside the engine's own format."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    head = {"features": pipeline.features, "task": pipeline.task, "stages": stages.to_json(pipeline.steps)} | _store(pipeline.model, path)
+    spark.createDataFrame([(json.dumps(head),)], "head string").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+
+
+def load(spark, path: str) -> Pipeline:
+    head = json.loads(spark.read.parquet(f"{path}/head").first().head)
+    return Pipeline(stages.from_json(head["stages"]), _restore(spark, head, path), head["features"], head["task"])
 
 
 def predict_rows(pipeline: Pipeline, df: DataFrame) -> DataFrame:

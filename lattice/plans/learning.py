@@ -256,7 +256,7 @@ def ridge(spark, sf_dir):
 
 _SMALL = {
     "random_forest": {"estimators": 10, "max_depth": 5}, "svc": {"kernel": "linear"}, "ada_boost": {"estimators": 5}, "gradient_boost": {"estimators": 3}, "logistic_regression": {"epochs": 20},
-    "decision_tree": {"max_depth": 5}, "lasso": {"alpha": 0.1}, "svr": {}, "gradient_boost_regressor": {"estimators": 5}, "regression_tree": {"max_depth": 5}, "kmeans": {"k": 4, "epochs": 20}, "dbscan": {"radius": 1.0}, "gaussian_mixture": {"k": 3, "epochs": 10},
+    "decision_tree": {"max_depth": 5}, "lasso": {"alpha": 0.1}, "svr": {}, "gradient_boost_regressor": {"estimators": 5}, "regression_tree": {"max_depth": 5}, "kmeans": {"k": 4, "epochs": 20}, "dbscan": {"radius": 1.15}, "gaussian_mixture": {"k": 3, "epochs": 10},
 }
 
 
@@ -271,8 +271,14 @@ def _fit_predict(key: str):
     return query
 
 
+_DBSCAN = f"""WITH RECURSIVE n AS (SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a, embeddings b WHERE list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 1.15),
+core AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 5), l AS (SELECT n.i, n.j FROM n JOIN core a ON a.i = n.i JOIN core b ON b.i = n.j),
+r(i, root) AS (SELECT i, i FROM core UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.i),
+c AS (SELECT i, dense_rank() OVER (ORDER BY root) - 1 AS p FROM (SELECT i, min(root) AS root FROM r GROUP BY i))
+SELECT e.vec_id AS row_idx, CAST(coalesce(min(c.p), -1) AS INTEGER) AS prediction FROM embeddings e LEFT JOIN n ON n.i = e.vec_id LEFT JOIN c ON c.i = n.j GROUP BY 1"""
+
 for _key in _SMALL:
-    BOOK[f"ml_{_key}"] = (_fit_predict(_key), None)
+    BOOK[f"ml_{_key}"] = (_fit_predict(_key), _DBSCAN if _key == "dbscan" else None)
 
 
 @BOOK.add("ml_pipeline")

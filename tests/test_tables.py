@@ -172,6 +172,15 @@ def test_dbscan_follows_a_long_chain(spark):
     assert {(r.prediction, r["count"]) for r in out.groupBy("prediction").count().collect()} == {(0, 3000), (1, 2), (-1, 1)}
 
 
+def test_dbscan_scores_other_rows_by_distance(spark):
+    """Rows without an index, or with one of the training table's, go by their place alone."""
+    df = spark.createDataFrame([(k, float(k % 5), 10.0 * (k // 5)) for k in range(10)], "row_idx long, x double, y double")
+    model = estimators.ALGORITHMS["dbscan"].build({"radius": 1.0, "min_samples": 3}).fit(df, ["x", "y"])
+    other = spark.createDataFrame([(0, 2.0, 10.5), (1, 2.5, 0.25), (2, 2.0, 5.0), (3, None, 0.0)], "row_idx long, x double, y double")
+    assert [r.prediction for r in model.transform(other).orderBy("row_idx").collect()] == [1, 0, -1, -1]
+    assert sorted(r.prediction for r in model.transform(other.drop("row_idx")).collect()) == [-1, -1, 0, 1]
+
+
 def test_connected_keeps_lone_nodes(spark):
     edges = spark.createDataFrame([(4, 4), (9, 7), (7, 8), (8, 8)], "u long, v long")
     assert {tuple(r) for r in estimators.connected(edges).collect()} == {(4, 4), (9, 7), (7, 7), (8, 7)}
@@ -232,6 +241,25 @@ def test_pipeline_save_load_and_search(spark, blobs, tmp_path):
     assert tuning.evaluate(tuning.fit(df, ["x", "y"], "kmeans"), df)["silhouette"] > 0.7
 
 
+@pytest.mark.parametrize("key,params", [("svc", {"kernel": "rbf"}), ("svc", {"kernel": "poly"}), ("dbscan", {"radius": 0.4}), ("kmeans", {}), ("ada_boost", {"estimators": 3})])
+def test_every_kind_of_model_can_be_stored(spark, blobs, tmp_path, key, params):
+    p = tuning.fit(blobs, ["x", "y"], key, params)
+    tuning.save(p, f"{tmp_path}/m")
+    again = tuning.load(spark, f"{tmp_path}/m")
+    want = sorted(map(tuple, tuning.predict_rows(p, blobs).collect()))
+    assert len({w[1] for w in want}) > 1 and sorted(map(tuple, tuning.predict_rows(again, blobs).collect())) == want
+
+
+def test_scoring_is_a_map(blobs):
+    """No shuffle, and the columns come back as they were given."""
+    p = tuning.fit(blobs, ["x", "y"], "naive_bayes")
+    given = blobs.withColumn("note", F.lit("n")).drop("row_idx")
+    out = p.transform(given)
+    assert out.columns == [*given.columns, "prediction", "probability"]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.select(*given.columns).collect())) == sorted(map(tuple, given.collect()))
+
+
 def test_grid_and_ranking():
     assert tuning.grid({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
     t = [{"n": 1, "score": None}, {"n": 2, "score": 0.5}, {"n": 3, "score": 0.9}, {"n": 4, "score": 0.5}]
@@ -278,3 +306,22 @@ def test_client_code():
     compile(code, "client", "exec")
     with pytest.raises(ValueError):
         export.client_code("cobol", "/m", [])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 100, 1001])
+def test_column_quantiles_equal_exact_ones(spark, n):
+    from lattice.operators import stages
+
+    v = np.random.default_rng(n).normal(size=(n, 2)).round(1)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in v.tolist()] + [(None, float("nan"))], "a double, b double")
+    got = stages.quantiles(df, ["a", "b"], [0.25, 0.5, 0.75])
+    for k, c in enumerate("ab"):
+        assert np.allclose([got[c][q] for q in (0.25, 0.5, 0.75)], np.quantile(v[:, k], [0.25, 0.5, 0.75]))
+
+
+def test_column_quantiles_without_values(spark):
+    from lattice.operators import stages
+
+    df = spark.createDataFrame([(None, 1.0)], "a double, b double")
+    assert stages.quantiles(df, ["a", "b"], [0.5]) == {"a": {0.5: None}, "b": {0.5: 1.0}}
+    assert stages.quantiles(df.where("b > 1"), ["a"], [0.5]) == {"a": {0.5: None}}

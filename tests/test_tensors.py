@@ -189,3 +189,13 @@ def test_least_squares_and_truncated_svd(spark):
     assert np.allclose(linalg.least_squares(Matrix.build(spark, x.tolist()), df), [1, -2, 0.5])
     s, _ = linalg.truncated_svd(Matrix.build(spark, x.tolist()), 2)
     assert np.allclose(s, np.linalg.svd(x)[1][:2])
+
+
+def test_gram_is_added_alike_in_both_ways(spark, monkeypatch):
+    from lattice.operators import matrix
+
+    x = np.random.default_rng(8).normal(size=(50, 7))
+    m = matrix.Matrix(spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "row_id long, v array<double>").repartition(6))
+    assert np.allclose(m.gram().local(), x.T @ x)
+    monkeypatch.setattr(matrix, "GRAM_CELLS", 10)
+    assert np.allclose(m.gram().local(), x.T @ x)
