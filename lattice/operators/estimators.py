@@ -527,7 +527,8 @@ class _BoostModel(Model):
             votes.append(v)
         out = out.withColumn("_s", F.array(*votes))
         made = F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position("_s", F.array_max("_s")) - 1).cast("int"))
-        return out.select(*[F.col(f"`{c}`") for c in df.columns], made.alias("prediction"))
+        share = F.transform("_s", lambda s: s / F.lit(sum(alpha for alpha, _ in self.found) or 1.0))
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], made.alias("prediction"), share.alias("probability"))
 
 
 # -- density clusters

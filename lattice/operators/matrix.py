@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elementwise, vectors
 from ..session import map_arrow
+from . import profile
 
 INF = float("inf")
 #: Columns up to which column aggregates are one wide aggregation rather than a regrouping of cells.
@@ -127,13 +128,13 @@ class Vector:
         return self._one(F.avg("x"))
 
     def median(self) -> float:
-        return self._one(F.median("x"))
+        return self.quantile(0.5)
 
     def variance(self, centre: float | None = None) -> float:
         return self._one(F.var_pop("x") if centre is None else F.avg((F.col("x") - F.lit(centre)) * (F.col("x") - F.lit(centre))))
 
     def quantile(self, q: float) -> float:
-        return self._one(F.percentile("x", q))
+        return profile.quantile(self.df.select(F.col("x").alias("v")), q)
 
     def argmin(self) -> int:
         return self._one(F.min(F.struct("x", "i"))["i"])
@@ -408,10 +409,10 @@ class Matrix:
         return self._one("mean")
 
     def median(self) -> float:
-        return self.cells().agg(F.median("x")).first()[0]
+        return self.quantile(0.5)
 
     def quantile(self, q: float) -> float:
-        return self.cells().agg(F.percentile("x", q)).first()[0]
+        return profile.quantile(self.df.select(F.explode("v").alias("v")), q)
 
     def variance(self, centre: float | None = None) -> float:
         x = F.col("x")

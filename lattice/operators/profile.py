@@ -79,19 +79,24 @@ def _numbers(df: DataFrame, names: list[str], order: str | None = None) -> DataF
     return df.select(cells.alias("c")).select("c.name", "c.v").where("v IS NOT NULL")
 
 
-def at_places(values: DataFrame, places: dict[str, tuple[float, Column]], near: float = 0.005) -> DataFrame:
+#: Up to so many values a name, all are put in order: places are too few for a bracket to hold them for sure.
+SHORT = 20_000
+
+
+def at_places(values: DataFrame, places: dict[str, tuple[float, Column]], near: float = 0.0005) -> DataFrame:
     """(name, q, v) of (name, v): for each label q, the element at a place (an expression in n) of each name's sorted values, exact.
 
     Approximate quantiles about the place's share of n (as far as near from it) bracket it; what lies below a bracket is counted, and only
-    the values inside it, a small share of the data, are put in order. No name's values are gathered.
+    the values inside it, a thousandth of the data, are put in order. No name's values are gathered. The sketch errs by at
+    most a 20,000th of the places, a tenth of near.
     """
     grid = sorted({max(0.0, min(1.0, s + d)) for s, _ in places.values() for d in (-near, near)})
     about = values.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("v", grid, 20_000).alias("g"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
     def at(label: str, share: float, place: Column) -> Column:
         a, b = max(0.0, share - near), min(1.0, share + near)
-        low = F.col("lo") if a == 0.0 else F.get("g", F.lit(grid.index(a)))
-        high = F.col("hi") if b == 1.0 else F.get("g", F.lit(grid.index(b)))
+        low = F.when(F.lit(a == 0.0) | (F.col("n") <= SHORT), F.col("lo")).otherwise(F.get("g", F.lit(grid.index(a))))
+        high = F.when(F.lit(b == 1.0) | (F.col("n") <= SHORT), F.col("hi")).otherwise(F.get("g", F.lit(grid.index(b))))
         return F.struct(F.lit(label).alias("q"), low.alias("low"), high.alias("high"), F.least(place, F.col("n") - 1).alias("place"))
 
     brackets = about.select("name", F.explode(F.array(*[at(q, s, p) for q, (s, p) in places.items()])).alias("b")).select("name", "b.*")
@@ -110,6 +115,17 @@ def order_statistics(values: DataFrame, shares: list[float]) -> DataFrame:
     return found.withColumn("q", F.col("q").cast("double"))
 
 
+def quantile(values: DataFrame, q: float) -> float | None:
+    """The quantile q of v, exact, linear between the two places it lies between; none for no values."""
+    named = values.select(F.lit("").alias("name"), "v").where("v IS NOT NULL")
+    at = (F.col("n") - 1) * F.lit(float(q))
+    found = {r.q: r.v for r in at_places(named, {"low": (q, F.floor(at)), "high": (q, F.ceil(at))}).collect()}
+    if not found or found["low"] == found["high"]:
+        return found.get("low")
+    share = (named.count() - 1) * q % 1
+    return (1 - share) * found["low"] + share * found["high"]
+
+
 def summary(df: DataFrame, names: list[str], order: str | None = None) -> DataFrame:
     """(name, n, min, max, mean, median, std, q25, q75, skewness) over numeric cells; columns without any are left out."""
     values = _numbers(df, names, order)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import resource
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.catalog import Catalog
 from . import dataset, metrics, stages
 from .estimators import ALGORITHMS, Model
 
@@ -116,6 +118,7 @@ class Run:
     pipeline: Pipeline | None = None
     seconds: float = 0.0
     error: str | None = None
+    memory: int = 0  # the driver process's peak, bytes
 
 
 def train(df: DataFrame, features: list[str], algorithm: str, params: dict | None = None, config: dict | None = None, folds: int | None = None, seed: int = 0) -> Run:
@@ -132,18 +135,44 @@ def train(df: DataFrame, features: list[str], algorithm: str, params: dict | Non
             part, rest = dataset.stratified_split(df, c["train_ratio"], seed)
         made = fit(part, features, algorithm, params, config, seed)
         cv = {} if kind == "clustering" else cross_validate(df, features, algorithm, params, config, folds or c["cv_folds"], seed=seed)
-        return Run(algorithm, params or {}, "completed", evaluate(made, rest), cv, made.model.importances, made, time.time() - began)
+        return Run(algorithm, params or {}, "completed", evaluate(made, rest), cv, made.model.importances, made, time.time() - began, memory=_peak())
     except Exception as e:  # noqa: BLE001
-        return Run(algorithm, params or {}, "failed", seconds=time.time() - began, error=str(e)[:500])
+        return Run(algorithm, params or {}, "failed", seconds=time.time() - began, error=str(e)[:500], memory=_peak())
 
 
-def train_all(df: DataFrame, features: list[str], algorithms: list[dict], config: dict | None = None, folds: int | None = None, parallel: int = 1) -> list[Run]:
-    """A run for each {key, params}; unknown keys are passed over. parallel runs share the cached table."""
+def _peak() -> int:
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+
+
+def record(catalog: Catalog, project: int, run: Run, path: str | None = None) -> int:
+    """The id of the run's row in the catalog; the pipeline is stored under path/id where one is given."""
+    id_ = catalog.insert("model_runs", project_id=project, algorithm=run.algorithm, algo_class=ALGORITHMS[run.algorithm].kind, hyperparams=json.dumps(run.params), status="training")
+    where = f"{path}/{id_}" if path and run.pipeline else None
+    if where:
+        save(run.pipeline, where)
+    found = {k: v for k, v in run.metrics.items() if k != "confusion"}
+    catalog.update(
+        "model_runs", id_, status=run.status, metrics=json.dumps(found), cv_scores=json.dumps(run.cv), confusion_matrix=json.dumps(run.metrics.get("confusion")),
+        feature_importances=json.dumps(run.importances), model_path=where, train_time=run.seconds, memory_peak=run.memory, error_msg=run.error,
+    )
+    return id_
+
+
+def train_all(df: DataFrame, features: list[str], algorithms: list[dict], config: dict | None = None, folds: int | None = None, parallel: int = 1, catalog: Catalog | None = None, project: int = 0, path: str | None = None) -> list[Run]:
+    """A run for each {key, params}; unknown keys are passed over. parallel runs share the cached table.
+
+    A catalog given gets a row for each run, and the project its status and best run; path, where one is given, the pipelines.
+    """
     known = [a for a in algorithms if a.get("key") in ALGORITHMS]
     df = df.persist()
     with ThreadPoolExecutor(max(1, parallel)) as pool:
         out = list(pool.map(lambda a: train(df, features, a["key"], a.get("params"), config, folds), known))
     df.unpersist()
+    if catalog:
+        ids = [record(catalog, project, run, path) for run in out]
+        best = best_run(out, ALGORITHMS[known[0]["key"]].kind) if known else None
+        if catalog.find("projects", project):
+            catalog.update("projects", project, status="trained" if best else "created", best_model_id=ids[[run is best for run in out].index(True)] if best else None)
     return out
 
 
@@ -275,3 +304,21 @@ def load(spark, path: str) -> Pipeline:
 def predict_rows(pipeline: Pipeline, df: DataFrame) -> DataFrame:
     """(row, prediction) for a batch."""
     return pipeline.transform(df).select(F.col("row_idx").alias("row"), "prediction").orderBy("row")
+
+
+def predict_one(spark, pipeline: Pipeline, values: dict[str, Any], catalog: Catalog | None = None, project: int = 0, run: int = 0) -> dict:
+    """{prediction, probabilities by class (where the model has them)} of one row of values by feature.
+
+    A feature that is not there raises ValueError; others are passed over. A catalog given gets a row in its log.
+    """
+    if absent := [c for c in pipeline.features if c not in values]:
+        raise ValueError(f"no value for {absent}")
+    given = [values[c] for c in pipeline.features]
+    kinds = ", ".join(f"`{c}` {'double' if isinstance(v, int | float) else 'string'}" for c, v in zip(pipeline.features, given, strict=True))
+    row = spark.createDataFrame([tuple(float(v) if isinstance(v, int | float) else v for v in given)], kinds)
+    made = pipeline.transform(row).first().asDict()
+    shares = made.get("probability")
+    found = {"prediction": made["prediction"], "probabilities": dict(zip(pipeline.classes, map(float, shares), strict=True)) if shares is not None and pipeline.classes else None}
+    if catalog:
+        catalog.log_prediction(project_id=project, model_run_id=run, input_data=json.dumps(dict(zip(pipeline.features, given, strict=True))), prediction=str(found["prediction"]), probabilities=json.dumps(found["probabilities"]))
+    return found

@@ -154,6 +154,25 @@ def prediction_log(spark, sf_dir):
     return c.table("predictions").select("id", "prediction")
 
 
+@BOOK.add("single_predict", _BAYES + " SELECT 1::BIGINT AS id, prediction FROM b WHERE row_idx = (SELECT min(vec_id) FROM embeddings)")
+def single_predict(spark, sf_dir):
+    """One row, asked for by its values, as the log has it."""
+    df, c = _features(spark, sf_dir), Catalog(spark, new_path(spark))
+    row = df.orderBy("row_idx").first().asDict()
+    tuning.predict_one(spark, tuning.fit(df, NAMES, "naive_bayes"), {k: row[k] for k in NAMES}, c, 1, 1)
+    return c.table("predictions").select("id", "prediction")
+
+
+@BOOK.add("run_history", "SELECT * FROM (VALUES ('run', 1::BIGINT, 'naive_bayes', 'completed'), ('run', 2, 'knn', 'failed'), ('prediction', 1, 'a', NULL)) t(kind, id, what, status)")
+def run_history(spark, sf_dir):
+    """Runs that training records (the second has a parameter out of range), and a prediction."""
+    c = Catalog(spark, new_path(spark))
+    project = c.insert("projects", name="p", task_type="classification", status="created")
+    tuning.train_all(_features(spark, sf_dir), NAMES, [{"key": "naive_bayes"}, {"key": "knn", "params": {"k": 0}}], folds=2, catalog=c, project=project)
+    c.log_prediction(project_id=project, prediction="a")
+    return c.history(project)
+
+
 @BOOK.add("batch_predict", _BAYES + " SELECT row_idx AS row, prediction FROM b")
 def batch_predict(spark, sf_dir):
     df = _features(spark, sf_dir)

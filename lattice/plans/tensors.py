@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import elementwise, vectors
 from ..operators import linalg
 from ..operators.matrix import Matrix, Vector, chain
+from ..sources.tables import with_row_index
 from .base import CELLS, Book, cells, embeddings, entries, table, tidy
 
 BOOK = Book()
@@ -487,6 +488,14 @@ def truncated_svd(spark, sf_dir):
     return _rows(spark, np.array([(s**2).sum() / 1e3, (s**4).sum() / 1e6]), 4)
 
 
+@BOOK.add("least_squares", "SELECT 0::BIGINT AS i, 0::BIGINT AS j, round(regr_intercept(l_extendedprice, l_quantity), 3) + 0.0 AS y FROM lineitem UNION ALL SELECT 0, 1, round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem")
+def least_squares(spark, sf_dir):
+    """Intercept and slope of the price on the quantity."""
+    rows = with_row_index(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y")))
+    x = Matrix(rows.select(F.col("row_idx").alias("row_id"), F.array(F.lit(1.0), "x").alias("v")), n=2)
+    return _rows(spark, linalg.least_squares(x, rows.select(F.col("row_idx").alias("row_id"), "y")), 3)
+
+
 @BOOK.add("batched_det", "SELECT vec_id AS i, round(CAST(embedding[1] AS DOUBLE) * embedding[4]::DOUBLE - embedding[2]::DOUBLE * embedding[3]::DOUBLE, 6) + 0.0 AS y FROM embeddings")
 def batched_det(spark, sf_dir):
     d = F.col("embedding").cast("array<double>")

@@ -241,6 +241,34 @@ def test_pipeline_save_load_and_search(spark, blobs, tmp_path):
     assert tuning.evaluate(tuning.fit(df, ["x", "y"], "kmeans"), df)["silhouette"] > 0.7
 
 
+def test_runs_and_single_predictions_are_recorded(spark, blobs, tmp_path):
+    df, c = blobs, Catalog(spark, f"file://{tmp_path}/catalog")
+    project = c.insert("projects", name="p", status="created")
+    asked = [{"key": "ada_boost", "params": {"estimators": 4}}, {"key": "knn", "params": {"k": 0}}]
+    tuning.train_all(df, ["x", "y"], asked, folds=2, catalog=c, project=project, path=f"file://{tmp_path}/models")
+    good, bad = c.table("model_runs").orderBy("id").collect()
+    assert (good.status, bad.status) == ("completed", "failed") and good.memory_peak > 0 and bad.error_msg and json.loads(good.metrics)["accuracy"] > 0.5
+    assert c.find("projects", project)["best_model_id"] == good.id and c.progress(project) == {"training": 0, "completed": 1, "failed": 1, "tuned": 0}
+    pipeline = tuning.load(spark, good.model_path)
+    row = df.first()
+    found = tuning.predict_one(spark, pipeline, {"x": row.x, "y": row.y, "other": 1}, c, project, good.id)
+    assert found["prediction"] == max(found["probabilities"], key=found["probabilities"].get) and sum(found["probabilities"].values()) == pytest.approx(1)
+    logged = c.table("predictions").first()
+    assert json.loads(logged.probabilities) == found["probabilities"] and logged.model_run_id == good.id
+    assert [(r.kind, r.id) for r in c.history(project).collect()] == [("run", bad.id), ("run", good.id), ("prediction", 1)]
+    with pytest.raises(ValueError):
+        tuning.predict_one(spark, pipeline, {"x": 1.0})
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 11, 50_001])
+def test_quantiles_between_places(spark, n):
+    x = np.random.default_rng(n).normal(size=n).round(2)
+    values = spark.createDataFrame([(float(a),) for a in x], "v double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert profile.quantile(values, q) == pytest.approx(np.quantile(x, q), abs=1e-12)
+    assert profile.quantile(values.where("false"), 0.5) is None
+
+
 @pytest.mark.parametrize("key,params", [("svc", {"kernel": "rbf"}), ("svc", {"kernel": "poly"}), ("dbscan", {"radius": 0.4}), ("kmeans", {}), ("ada_boost", {"estimators": 3})])
 def test_every_kind_of_model_can_be_stored(spark, blobs, tmp_path, key, params):
     p = tuning.fit(blobs, ["x", "y"], key, params)
@@ -296,8 +324,11 @@ def test_catalog(spark, tmp_path):
         c.insert("projects", status="odd")
     with pytest.raises(ValueError):
         c.insert("projects", unknown=1)
-    c.log_prediction(project_id=1, prediction="x")
-    assert c.table("predictions").count() == 1
+    assert [c.log_prediction(project_id=1, prediction=p) for p in "xyz"] == [1, 2, 3]
+    assert [(r.id, r.prediction) for r in c.listing("predictions").collect()] == [(3, "z"), (2, "y"), (1, "x")]
+    assert all(r.created_at for r in c.table("predictions").collect())
+    with pytest.raises(ValueError):
+        c.delete("predictions", 1)
     assert validate({"name": "", "kind": "z", "n": "1x"}, {"name": "required", "kind": "in_list[a,b]", "n": "integer", "free": "max_length[3]"}) == {"name": "name is required", "kind": "kind is none of a,b", "n": "n is not an integer"}
 
 
